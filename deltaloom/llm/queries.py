@@ -7,13 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, tokens
+from deltaloom.llm import bpe, language, licenses, media, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as baseline JPEG and read back: sizes, digests and the thumbnail's hash."""
+    return media.media_columns(_table(spark, sf_dir, "documents"), keep=["doc_id"], with_media=False)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text", language.held_out().alias("held_out")), language.train(docs), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases, labels and score of every document."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document under byte_bpe_50k.json."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
@@ -24,9 +41,14 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, by name."""
-    return {f.__name__: f for f in (op8_token_counts, op9_bpe_codec)}
+    return {f.__name__: f for f in (op5_media_columns, op6_language_id, op7_license_scan, op8_token_counts, op9_bpe_codec, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
