@@ -6,14 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deltaloom.llm import bpe, language, licenses, media, secrets, tokens
+from deltaloom.llm import bpe, language, licenses, media, secrets, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a shard of op1 may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, shard, local_depth, shard_bytes, shard_rows of every document."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), ["doc_id"], SHARD_BYTES, keep=["doc_id"])
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
+     sums AS (SELECT k AS depth, h >> (32 - k) AS at, sum(b) AS bytes, count(*) AS n FROM d, range(0, 33) r(k) GROUP BY ALL),
+     leaf AS (SELECT d.doc_id, d.h, min(s.depth) AS depth FROM d JOIN sums s ON s.at = d.h >> (32 - s.depth) AND (s.bytes <= {SHARD_BYTES} OR s.depth = 32) GROUP BY ALL)
+SELECT doc_id, CASE WHEN leaf.depth = 0 THEN '' ELSE lpad(bin(h >> (32 - leaf.depth)), CAST(leaf.depth AS INTEGER), '0') END AS shard,
+       CAST(leaf.depth AS BIGINT) AS local_depth, CAST(s.bytes AS BIGINT) AS shard_bytes, CAST(s.n AS BIGINT) AS shard_rows
+FROM leaf JOIN sums s ON s.depth = leaf.depth AND s.at = h >> (32 - leaf.depth)
+"""
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as baseline JPEG and read back: sizes, digests and the thumbnail's hash."""
     return media.media_columns(_table(spark, sf_dir, "documents"), keep=["doc_id"], with_media=False)
@@ -48,9 +74,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, by name."""
-    return {f.__name__: f for f in (op5_media_columns, op6_language_id, op7_license_scan, op8_token_counts, op9_bpe_codec, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sharding, op4_simhash_near_dedup, op5_media_columns, op6_language_id, op7_license_scan, op8_token_counts, op9_bpe_codec, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {}
+    return {"op1_sharding": OP1_SQL}
