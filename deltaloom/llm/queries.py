@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import bpe, language, licenses, media, secrets, sharding, simhash, substrings, tokens
+from deltaloom.llm import bpe, decontaminate, language, licenses, media, secrets, sharding, simhash, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ FROM leaf JOIN sums s ON s.depth = leaf.depth AND s.at = h >> (32 - leaf.depth)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits, first_word of every benchmark item that leaks into a document."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.leak_rows(decontaminate.find_leaks(docs.select("doc_id", "text"), items, keep=["doc_id"]), ["doc_id"])
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, without repeats of 20 words."""
     return substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
@@ -79,7 +85,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, by name."""
-    return {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op4_simhash_near_dedup, op5_media_columns, op6_language_id, op7_license_scan, op8_token_counts, op9_bpe_codec, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_substring_dedup, op4_simhash_near_dedup, op5_media_columns, op6_language_id, op7_license_scan, op8_token_counts, op9_bpe_codec, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
