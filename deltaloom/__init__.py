@@ -1,0 +1 @@
+"""Event streams, linked faceted tables and ledger rollups as Spark plans."""
