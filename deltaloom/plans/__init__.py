@@ -1,6 +1,6 @@
 """Named queries over the driver tables, with their SQL."""
 
-from deltaloom.plans import flow_queries
+from deltaloom.plans import cube_queries, flow_queries, ledger_queries
 from deltaloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flow_queries"]
+__all__ = ["QUERIES", "SQL", "cube_queries", "flow_queries", "ledger_queries"]
