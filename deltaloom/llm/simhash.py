@@ -92,7 +92,7 @@ def _links(distance: int):
             new[1:-1] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
             bounds = np.flatnonzero(new)
             size = np.diff(bounds)
-            fps, ids, out = rows[:, 2], rows[:, 3], []
+            fps, ids, out = rows[:, 2].astype(np.uint64), rows[:, 3], []  # unsigned: bits of negative numbers count as those of their absolute value
             group = np.repeat(np.arange(len(size)), size)
             small = np.repeat(size <= 16, size)
             for step in range(1, min(16, int(size.max(initial=0)))):
