@@ -67,6 +67,18 @@ def map_(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.withColumns({k: column(v) for k, v in columns.items()})
 
 
+def copy(df: DataFrame) -> DataFrame:
+    """The same events: a DataFrame does not change."""
+    return df
+
+
+def log(df: DataFrame, channel: str = "log", n: int = 20) -> DataFrame:
+    """Print some events under a channel (log, error or trace) and pass all on."""
+    print(f"[{channel}]")
+    df.show(n, truncate=False)
+    return df
+
+
 def flatten(df: DataFrame, events: str = "events") -> DataFrame:
     """An array of events into one row each; a column that is no array passes."""
     return df.select(F.inline(events)) if df.schema[events].dataType.typeName() == "array" else df
