@@ -8,6 +8,11 @@ spanning forest of its links, never all pairs. One with more than
 ``BUCKET`` fingerprints is dealt out again by blocks of the bits that it does
 not share yet: the argument holds for these as well, so no link is lost, and
 after a few rounds no bucket can be that large.
+
+A wider fingerprint has several such words, each from its own hash of the
+shingles. Then documents link if some word differs in at most 4 bits and all
+together in at most ``total``: more words find copies that one word misses,
+and verify what one word would link by chance among billions.
 """
 
 from __future__ import annotations
@@ -26,32 +31,44 @@ from deltaloom.llm.frames import annotate, durable
 SEED, SHINGLE, DISTANCE, BUCKET = 42, 4, 4, 16_384
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit by bit the majority over the XXH64 of all shingles of words, A-Z lower-cased; 0 without words. Signed."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """Bit by bit the majority over the XXH64 of all shingles of words, A-Z lower-cased; 0 without words. Signed; one number a word of the fingerprint."""
+    split = text.encode().lower().split() if text else []
+    if not split:
+        return [0] * words
+    joined = b" ".join(split)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > shingle:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
+    if len(split) > shingle:
+        starts, ends = starts[: len(split) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
+    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros((words, 64), np.int64)
     for i in range(0, n, 1 << 14):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 14)].tolist(), ends[i : i + (1 << 14)].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        for k in range(words):
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)  # the next word's hash
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def names(words: int) -> list[str]:
+    """Columns of a fingerprint: fp, fp1, fp2, ..."""
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
 
 
-def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """Add ``fp`` (long) to every row; a null or empty text has 0. Rows and other columns stay."""
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """Add ``fp`` (long; and fp1, ... of more words) to every row; a null or empty text has 0. Rows and other columns stay."""
 
     def make():
-        return lambda texts: {"fp": [fingerprint(t, shingle) for t in texts]}
+        def work(texts):
+            found = [fingerprint(t, shingle, words) for t in texts]
+            return {name: [x[k] for x in found] for k, name in enumerate(names(words))}
 
-    return annotate(df, text, "fp long", make, keep)
+        return work
+
+    return annotate(df, text, ", ".join(f"{x} long" for x in names(words)), make, keep)
 
 
 def _masks(mask: int, distance: int) -> list[int]:
@@ -66,14 +83,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, word: np.ndarray | int, distance: int, total: int) -> np.ndarray:
+    """Whether fingerprints (rows of unsigned words) differ in few bits of one word and of all."""
+    bits = np.bitwise_count(a ^ b)
+    own = bits[:, word] if isinstance(word, int) else bits[np.arange(len(bits)), word]
+    return (own <= distance) & (bits.sum(1) <= total)
+
+
+def _forest(fps: np.ndarray, ids: np.ndarray, word: int, distance: int, total: int) -> list[np.ndarray]:
     """Links that span the components of one bucket: each member is reached once, from one within the distance."""
     out, left = [], np.arange(len(fps))
     while len(left):
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= distance
+            near = _near(fps[left], fps[at][None, :], word, distance, total)
             if near.any():
                 found, left = left[near], left[~near]
                 out.append(np.stack([np.full(len(found), ids[at]), ids[found]]))
@@ -81,27 +105,27 @@ def _forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[np.ndarray]
     return out
 
 
-def _links(distance: int):
-    """Batches sorted by bucket -> links within buckets. A bucket that a batch cuts off waits for the next."""
+def _links(distance: int, total: int):
+    """Batches (word, mask, key, id, fingerprint) sorted by bucket -> links within buckets. A bucket that a batch cuts off waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows) + 1, bool)
-            new[1:-1] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+            new[1:-1] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             bounds = np.flatnonzero(new)
             size = np.diff(bounds)
-            fps, ids, out = rows[:, 2].astype(np.uint64), rows[:, 3], []  # unsigned: bits of negative numbers count as those of their absolute value
+            word, ids, fps, out = rows[:, 0], rows[:, 3], rows[:, 4:].astype(np.uint64), []  # unsigned: bits of negative numbers count as those of their absolute value
             group = np.repeat(np.arange(len(size)), size)
             small = np.repeat(size <= 16, size)
             for step in range(1, min(16, int(size.max(initial=0)))):
                 i = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-                i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= distance]
+                i = i[_near(fps[i], fps[i + step], word[i], distance, total)]
                 out.append(np.stack([ids[i], ids[i + step]]))
             for g in np.flatnonzero(size > 16).tolist():
                 a, z = bounds[g], bounds[g + 1]
-                out += _forest(fps[a:z], ids[a:z], distance)
+                out += _forest(fps[a:z], ids[a:z], int(word[a]), distance, total)
             pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(*pairs)), pa.array(np.minimum(*pairs))], names=["u", "v"])
 
@@ -110,10 +134,10 @@ def _links(distance: int):
             if not len(rows):
                 continue
             held.append(rows)
-            if (rows[0, :2] == rows[-1, :2]).all():
+            if (rows[0, :3] == rows[-1, :3]).all():
                 continue
             rows = np.concatenate(held)
-            cut = len(rows) - int(np.argmax((rows[::-1, 0] != rows[-1, 0]) | (rows[::-1, 1] != rows[-1, 1])))
+            cut = len(rows) - int(np.argmax((rows[::-1, :3] != rows[-1, :3]).any(1)))
             yield solve(rows[:cut])
             held = [rows[cut:]]
         if held:
@@ -122,27 +146,29 @@ def _links(distance: int):
     return run
 
 
-def links(reps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Links (u > v, ids) that connect all of ``reps`` (distinct ``fp``, ``rep``) whose fingerprints differ in at most ``distance`` bits.
+def links(reps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, words: int = 1, total: int = 64) -> DataFrame:
+    """Links (u > v, ids) that connect all of ``reps`` (distinct fingerprints, ``rep``) with a word that differs in at most ``distance`` bits, and all words in at most ``total``.
 
     Every bucket's links are a spanning forest or, in buckets of up to 16, all of them.
     """
-    spark = reps.sparkSession
-    spread = F.explode(F.array(*[F.lit(_signed(m)) for m in _masks(0, distance)]))
-    todo, level, out = reps.select("fp", "rep", spread.alias("mask")), _masks(0, distance), None
+    spark, fps = reps.sparkSession, names(words)
+    spread = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("word"), F.lit(_signed(m)).alias("mask")) for w in range(words) for m in _masks(0, distance)]))
+    todo, level, out = reps.select("rep", *fps, spread.alias("at")).select("at.word", "at.mask", "rep", *fps), _masks(0, distance), None
     while True:
-        keyed = todo.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
-        large = durable(keyed.groupBy("mask", "key").count().filter(F.col("count") > bucket).select("mask", "key"))
+        own = F.element_at(F.array(*fps), (F.col("word") + 1).cast("int"))
+        keyed = todo.select("word", "mask", own.bitwiseAND(F.col("mask")).alias("key"), "rep", *fps)
+        large = durable(keyed.groupBy("word", "mask", "key").count().filter(F.col("count") > bucket).select("word", "mask", "key"))
         done = large.isEmpty()
-        ready = keyed if done else keyed.join(large, ["mask", "key"], "left_anti").select("mask", "key", "fp", "rep")
-        found = ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(distance), "u long, v long")
+        place = ["word", "mask", "key"]
+        ready = keyed if done else keyed.join(large, place, "left_anti").select(*place, "rep", *fps)
+        found = ready.repartition(*place).sortWithinPartitions(*place).mapInArrow(_links(distance, total), "u long, v long")
         out = found if out is None else out.unionByName(found)
         if done:
             return out.distinct()
         finer = {m: _masks(m, distance) for m in level}
         level = sorted({x for v in finer.values() for x in v})
         table = spark.createDataFrame([(_signed(m), [_signed(x) for x in v]) for m, v in finer.items()], "mask long, finer array<long>")  # 15 masks a level before, each time
-        todo = keyed.join(large, ["mask", "key"], "left_semi").join(F.broadcast(table), "mask").select("fp", "rep", F.explode("finer").alias("mask"))
+        todo = keyed.join(large, place, "left_semi").join(F.broadcast(table), "mask").select("word", F.explode("finer").alias("mask"), "rep", *fps)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,14 +191,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable over links, itself included) of every row.
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET, words: int = 1, total: int = 64) -> DataFrame:
+    """doc_id, fp (and fp1, ...) and component_id (the smallest id reachable over links, itself included) of every row.
 
     Null and empty texts have fingerprint 0 and link like others. Rows that
     repeat stay; of rows with a null id only their partners' smallest id is known.
     """
-    docs = durable(fingerprints(df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep=["doc_id"], shingle=shingle))
-    reps = durable(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    classes = components(links(reps.filter("rep is not null"), distance, bucket))
-    joined = reps.join(classes, reps.rep == classes.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return docs.join(joined, "fp").select("doc_id", "fp", "component_id")
+    fps = names(words)
+    docs = durable(fingerprints(df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep=["doc_id"], shingle=shingle, words=words))
+    reps = durable(docs.groupBy(*fps).agg(F.min("doc_id").alias("rep")))
+    classes = components(links(reps.filter("rep is not null"), distance, bucket, words, total))
+    joined = reps.join(classes, reps.rep == classes.id, "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
+    return docs.join(joined, fps).select("doc_id", *fps, "component_id")

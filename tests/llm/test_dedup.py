@@ -51,6 +51,14 @@ def test_substrings(spark, window, gram, group):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in out.collect()} == brute_substrings(rows, window)
 
 
+def test_rows_that_repeat_an_id_get_the_same_result(spark):
+    rows = texts(2, 20)
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows for _ in range(1 + i % 2)], DOCS)
+    out = [(r.doc_id, r.n_removed) for r in substrings.dedup_substrings(df, window=8, gram=3).collect()]
+    want = brute_substrings(rows, 8)
+    assert sorted(out) == sorted((i, want[i][1]) for i, _ in rows for _ in range(1 + i % 2))
+
+
 def test_substrings_query(spark, duck):
     same_rows(queries.op3_substring_dedup(spark, SF), duck.execute(queries.OP3_SQL))
 
@@ -91,6 +99,22 @@ def test_simhash_query(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", classes[i]) for i in docs}
 
 
+def test_wide_fingerprints_link_more_and_verify(spark):
+    rnd = np.random.default_rng(7)
+    rows = []
+    for k in range(12):
+        w = [f"w{x}" for x in rnd.integers(0, 5000, 400)]
+        rows.append((10 * k, " ".join(w)))
+        w[int(rnd.integers(0, 400))] = "changed"
+        rows.append((10 * k + 1, " ".join(w)))
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    out = simhash.near_duplicates(df, shingle=5, words=4, total=40).collect()
+    fps = {r.doc_id: [r.fp, r.fp1, r.fp2, r.fp3] for r in out}
+    bits = lambda i, j: [((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(fps[i], fps[j], strict=True)]
+    want = {i: min(j for j in fps if j == i or (min(bits(i, j)) <= 4 and sum(bits(i, j)) <= 40)) for i in fps}
+    assert {r.doc_id: r.component_id for r in out} == want and sum(i != j for i, j in want.items()) >= 11
+
+
 def test_simhash_nulls_short_texts_and_repeats(spark):
     rows = [(5, None), (3, ""), (9, "one"), (7, "ONE"), (8, "one two three four five six"), (8, "one two three four five six"), (2, " \n")]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
@@ -98,12 +122,12 @@ def test_simhash_nulls_short_texts_and_repeats(spark):
     assert got == [(2, 2), (3, 2), (5, 2), (7, 7), (8, 8), (8, 8), (9, 7)]
 
 
-@pytest.mark.parametrize("bucket", [1 << 14, 6])
+@pytest.mark.parametrize("bucket", [1 << 14, 64])
 def test_links_lose_nothing_in_large_buckets(spark, bucket):
     rnd = np.random.default_rng(3)
-    fps = [int(x) for x in rnd.integers(-(2**63), 2**63 - 1, 40)]
-    for _ in range(160):
-        x = fps[rnd.integers(0, len(fps))]
+    fps = [int(x) for x in rnd.integers(0, 2**42, 150)]  # all share two blocks: buckets over 64 are dealt out again
+    for _ in range(100):
+        x = fps[rnd.integers(0, 150)]
         for b in rnd.integers(0, 64, rnd.integers(1, 5)):
             x ^= simhash._signed(1 << int(b))
         fps.append(x)
@@ -113,6 +137,18 @@ def test_links_lose_nothing_in_large_buckets(spark, bucket):
     assert {i: found.get(i, i) for i in fps} == brute_classes({i: f & (1 << 64) - 1 for i, f in fps.items()}, 4)
 
 
+def test_large_buckets_span_their_components():
+    rnd = np.random.default_rng(4)
+    base = int(rnd.integers(0, 2**62))
+    fps = np.array([base ^ (1 << int(b)) ^ (1 << int(c)) for b, c in rnd.integers(0, 62, (60, 2))] + [int(x) for x in rnd.integers(0, 2**62, 20)])
+    pairs = np.concatenate(simhash._forest(fps.astype(np.uint64)[:, None], np.arange(80), 0, 4, 64), axis=1).T.tolist()
+    label = list(range(80))
+    for _ in range(80):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(pairs) < 80 and dict(enumerate(label)) == brute_classes(dict(enumerate(fps.tolist())), 4)
+
+
 def test_sharding_query(spark, duck):
     same_rows(queries.op1_sharding(spark, SF), duck.execute(queries.OP1_SQL))
 
@@ -132,7 +168,8 @@ def test_shards_fit_and_a_directory_covers_them(spark, limit):
     assert all(own.get(s[:-1] + "01"[s[-1] == "0"], 0) + b > limit or any(t != s and t.startswith(s[:-1]) and len(t) > len(s) for t in own) for s, b in own.items() if s)
     slots = sorted((r.slot, r.shard) for r in sharding.directory(out).collect())
     depth = max(map(len, own))
-    assert [s for s, _ in slots] == list(range(2**depth)) and all(depth == 0 or f"{s:0{depth}b}".startswith(p) for s, p in slots)
+    assert len({s for s, _ in slots}) == len(slots) == sum(2 ** (depth - len(p)) for p in own)
+    assert all(depth == 0 or f"{s:0{depth}b}".startswith(p) for s, p in slots)
 
 
 def test_one_key_that_does_not_fit_ends_with_all_bits(spark):
