@@ -215,9 +215,7 @@ def counters(spark, d):
 
 def _spend(spark, d):
     """Visible lineitem amounts with customer, supplier and part, for orders of 1995. Items are a bag of edges: none is dropped."""
-    sel = {"orders": {"date": Range(LO, HI)}}
-    model = Model([_orders(spark, d), Cube("customer", load(spark, d, "customer"), "c_custkey")]).link("customer", "orders", F.lit(None).cast("long"))
-    live = Model([model.cubes["orders"]]).visible(sel, "orders").select("o_orderkey", "o_custkey")
+    live = Model([_orders(spark, d)]).visible({"orders": {"date": Range(LO, HI)}}, "orders").select("o_orderkey", "o_custkey")
     items = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"))
     return items.join(live, F.col("l_orderkey") == F.col("o_orderkey"))
 
