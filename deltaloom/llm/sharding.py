@@ -76,7 +76,7 @@ def assign_shards(df: DataFrame, keys: list[str], limit: int, text: str = "text"
 
 
 def directory(shards: DataFrame) -> DataFrame:
-    """The directory of shards (columns ``shard``, ``local_depth``): ``slot`` of as many bits as the deepest shard has, and the shard that it leads to."""
+    """The directory of shards (columns ``shard``, ``local_depth``): ``slot`` of as many bits as the deepest shard has, and the shard that it leads to. Slots of prefixes without rows are left out."""
     each = shards.select("shard", "local_depth").distinct()
     top = each.agg(F.max("local_depth").alias("top"))
     first = F.when(F.col("local_depth") == 0, F.lit(0)).otherwise(F.conv("shard", 2, 10).cast("long"))
