@@ -37,6 +37,8 @@ from deltaloom.llm.frames import annotate, bounded_batches, durable
 WINDOW, GRAM, GROUP = 20, 6, 32_768
 #: Suffixes that a task sorts at once, at most (a gram's strips are never parted).
 SORTED = 400_000
+#: Parts that rows of equal word sequences are dealt into.
+SALTS = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -71,27 +73,27 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _survey(window: int, gram: int):
-    """Word count, digest, and each document's grams with whether it has them twice."""
+    """Word count, digest, and each document's distinct grams, and those that it has more than once."""
 
     def make():
         grams = Grams(window, gram)
 
         def work(texts):
-            out = {"n_words": [], "full": [], "gram": [], "twice": []}
+            out = {"n_words": [], "full": [], "gram": [], "again": []}
             for t in texts:
                 w = _words(t)
                 out["n_words"].append(len(w))
                 out["full"].append(hashlib.sha256(b" ".join(w)).hexdigest())
                 if len(w) < window:
                     out["gram"].append([])
-                    out["twice"].append([])
+                    out["again"].append([])
                     continue
                 h, at = grams.anchors(grams.ids(w))
                 found, n = np.unique(h[np.unique(at)], return_counts=True)
                 out["gram"].append(found.view(np.int64))
-                out["twice"].append(n > 1)
+                out["again"].append(found[n > 1].view(np.int64))
             out["gram"] = pa.array(out["gram"], pa.list_(pa.int64()))
-            out["twice"] = pa.array(out["twice"], pa.list_(pa.bool_()))
+            out["again"] = pa.array(out["again"], pa.list_(pa.int64()))
             return out
 
         return work
@@ -144,7 +146,12 @@ def deep_nodes(words: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[n
     order = np.lexsort((place, doc, *words.T[::-1]))
     tree = words[order]
     common = np.cumprod(tree[1:] == tree[:-1], axis=1, dtype=np.int8).sum(1)
-    return order, np.concatenate([[False], common == words.shape[1]])
+    deep = np.concatenate([[False], common == words.shape[1]])
+    # rows that repeat an id give a suffix twice: what stands where its node's earliest suffix does is that suffix
+    moved = np.concatenate([[False], (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)])
+    moves = np.cumsum(deep & moved)
+    root = np.maximum.accumulate(np.where(deep, 0, np.arange(len(deep))))
+    return order, moves > moves[root]
 
 
 def _ranges(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -199,15 +206,17 @@ def _spread(window: int):
     return run
 
 
-def repeats(docs: DataFrame, survey: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Runs (doc_id, first, last) of windows that start earlier elsewhere, among the documents of ``survey`` with ``stays``.
+def repeats(docs: DataFrame, survey: DataFrame, staying: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Runs (doc_id, first, last) of windows that start earlier elsewhere, among documents that are no copies of earlier ones.
 
-    docs: doc_id, text. survey: doc_id, full, stays, gram, twice.
+    docs: doc_id, text. survey: doc_id, full, gram, again. staying: doc_id.
     """
     bounded_batches(docs.sparkSession)
-    rows = survey.select("doc_id", "stays", F.substring("full", 1, 15).alias("own"), F.explode(F.arrays_zip("gram", "twice")).alias("g")).select("doc_id", "stays", F.conv("own", 16, 10).cast("long").alias("own"), "g.gram", "g.twice")
-    counted = rows.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z"), F.max("twice").alias("twice")).filter("a != z or twice").select("gram")
-    marked = rows.filter("stays").select("gram", "doc_id").join(counted, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")
+    # a gram that a document has twice counts as one of another document as well
+    kinds = survey.select(own, F.explode("gram").alias("gram")).unionByName(survey.select((own + 1).alias("own"), F.explode("again").alias("gram")))
+    counted = kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram")
+    marked = survey.select("doc_id", F.explode("gram").alias("gram")).join(counted, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams")).join(staying, "doc_id", "left_semi")
     strips = docs.join(marked, "doc_id").select("doc_id", "text", "grams").mapInArrow(_strips(window, gram), "gram long, doc_id long, first int, n int, mark long, strip binary")
     strips = durable(strips)
     earliest = F.min(F.struct("doc_id", "first")).alias("e")
@@ -218,13 +227,13 @@ def repeats(docs: DataFrame, survey: DataFrame, window: int = WINDOW, gram: int
         .filter("doc_id != d or first != f")
         .select("doc_id", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     )
-    only = strips.join(merged.select("gram", "mark", "doc_id", "first"), ["gram", "mark", "doc_id", "first"], "left_semi")
-    groups = merged.groupBy("gram").count()
-    many = durable(groups.filter((F.col("count") > 1) & (F.col("count") <= group)).select("gram", F.lit(False).alias("large")).unionByName(groups.filter(F.col("count") > group).select("gram", F.lit(True).alias("large"))))
-    tagged = only.join(many, "gram")
+    groups = merged.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > group).alias("large"))
+    places = durable(merged.select("gram", "doc_id", "first").join(groups, "gram"))
+    # a place has one strip, so keys without words find it; words move once to their place and once to their gram
+    tagged = strips.select("gram", "doc_id", "first", "n", "strip").join(places, ["gram", "doc_id", "first"])
     trees = tagged.filter("not large").select("gram", "doc_id", "first", "n", "strip").repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees(window), "doc_id long, first int, last int")
     out = later.unionByName(trees)
-    if not many.filter("large").isEmpty():
+    if not places.filter("large").isEmpty():
         nodes = tagged.filter("large").select("doc_id", "first", "strip").mapInArrow(_spread(window), "k1 long, k2 long, doc_id long, first int")
         least = nodes.groupBy("k1", "k2").agg(earliest)
         out = out.unionByName(nodes.join(least, ["k1", "k2"]).filter("doc_id != e.doc_id or first != e.first").select("doc_id", "first", F.col("first").alias("last")))
@@ -248,13 +257,14 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     each gets the same result, and ids must not repeat with different texts.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    survey = annotate(docs, "text", "n_words long, full string, gram array<long>, twice array<boolean>", _survey(window, gram), keep=["doc_id"])
-    base = durable(survey.select("doc_id", "n_words", "full"))
-    first = base.groupBy("full").agg(F.min("doc_id").alias("of"))
-    settled = durable(base.join(first, "full").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("of"))))
-    staying = settled.filter("stays").select("doc_id").distinct()
-    surveyed = survey.select("doc_id", "full", "gram", "twice").join(staying.select("doc_id", F.lit(True).alias("stays")), "doc_id", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
-    runs = repeats(docs, surveyed, window, gram, group).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    survey = annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["doc_id"])
+    survey = durable(survey)
+    base = survey.select("doc_id", "n_words", "full")
+    first = base.groupBy("full").agg(F.min("doc_id").alias("of")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a group of copies may be a third of all rows: its rows are dealt out by salt, and adaptive execution can split what is still large
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    settled = durable(salted.join(first, ["full", "salt"]).drop("salt").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("of"))))
+    runs = repeats(docs, survey, settled.filter("stays").select("doc_id").distinct(), window, gram, group).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
