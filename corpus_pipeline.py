@@ -11,8 +11,8 @@ from deltaloom.llm.frames import durable
 
 #: Posterior that a language must reach.
 LEAST_SCORE = 0.5
-#: Near duplicates: words of a shingle; bits by which one of four fingerprint words may differ, and by which all 256 may (that of texts about 0.8 alike).
-SHINGLE, DISTANCE, FINGERPRINT_WORDS, TOTAL = 5, 4, 4, 40
+#: Near duplicates: words of a shingle; least similarity of two texts' sets of shingles.
+SHINGLE, ALIKE = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keep the document of the smallest id. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, words=FINGERPRINT_WORDS, total=TOTAL)
+    groups = simhash.similar_documents(docs, shingle=SHINGLE, least=ALIKE)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

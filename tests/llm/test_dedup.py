@@ -176,3 +176,48 @@ def test_one_key_that_does_not_fit_ends_with_all_bits(spark):
     df = spark.createDataFrame([(1, "x" * 50, "a", 0)] * 4 + [(2, "y", "a", 0), (None, "z", "a", 0)], DOCS)
     got = {r.doc_id: (r.local_depth, r.shard_bytes) for r in sharding.assign_shards(df, ["doc_id"], 100).collect()}
     assert got[1] == (32, 200) and got[2][1] <= 100 and got[None][1] <= 100
+
+
+def brute_alike(a, b, shingle=5):
+    x, y = ({tuple(t.split()[k : k + shingle]) for k in range(max(1, len(t.split()) - shingle + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_against_brute_force_similarity(spark):
+    rnd = np.random.default_rng(11)
+    rows, pairs = [], {}
+    for k in range(300):
+        w = [f"w{x}" for x in rnd.integers(0, 5000, rnd.integers(100, 500))]
+        a = " ".join(w)
+        for i in rnd.choice(len(w), max(1, len(w) * int(rnd.integers(1, 7)) // 200), replace=False):
+            w[i] = "changed"
+        rows += [(2 * k, a), (2 * k + 1, " ".join(w))]
+        pairs[2 * k + 1] = brute_alike(a, rows[-1][1])
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    linked = {i for i in pairs if got[i] == i - 1}
+    assert all(got[i] == i for i in got if i not in linked) and all(pairs[i] >= 0.8 for i in linked)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        here = [i for i, x in pairs.items() if low <= x < high]
+        assert len(here) >= 20 and sum(i in linked for i in here) >= 0.95 * len(here)
+
+
+def test_similar_documents_in_large_buckets(spark):
+    rnd = np.random.default_rng(12)
+    base = [f"w{x}" for x in range(400)]
+    texts = [" ".join(base)]
+    for k in range(60):  # copies about 0.7 to 1 alike to the first: some are connected only over others
+        w = list(base)
+        for i in rnd.choice(400, int(rnd.integers(1, 16)), replace=False):
+            w[i] = f"x{k}"
+        texts.append(" ".join(w))
+    n = len(texts)
+    near = {(i, j) for i in range(n) for j in range(i) if brute_alike(texts[i], texts[j]) >= 0.8}
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert got == dict(enumerate(label)) and 0 < sum(x == 0 for x in label) < n
+    assert simhash.similar_documents(df.limit(0)).count() == 0
