@@ -7,7 +7,7 @@ Hamming distance. Only distinct fingerprints go to buckets. A bucket gives a
 spanning forest of its links, never all pairs. One with more than
 ``BUCKET`` fingerprints is dealt out again by blocks of the bits that it does
 not share yet: the argument holds for these as well, so no link is lost, and
-after a few rounds no bucket can be that large.
+after a few rounds few bits are left, and the bucket is solved as it is.
 
 A wider fingerprint has several such words, each from its own hash of the
 shingles. Then documents link if some word differs in at most 4 bits and all
@@ -165,14 +165,19 @@ def links(reps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, words
     """Links (u > v, ids) that connect all of ``reps`` (distinct fingerprints, ``rep``) with a word that differs in at most ``distance`` bits, and all words in at most ``total``.
 
     Every bucket's links are a spanning forest or, in buckets of up to 16, all of them.
+    A bucket is not dealt out again when few bits of its word are left: at most
+    2^12 fingerprints of one word can share the others; of several words, any
+    number can share half a word, and dealing near copies out again does not
+    part them. Its forest is made whole.
     """
+    few = 12 if words == 1 else 32
     spark, fps = reps.sparkSession, names(words)
     spread = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("word"), F.lit(_signed(m)).alias("mask")) for w in range(words) for m in _masks(0, distance)]))
-    todo, level, out = reps.select("rep", *fps, spread.alias("at")).select("at.word", "at.mask", "rep", *fps), _masks(0, distance), None
+    todo, out = reps.select("rep", *fps, spread.alias("at")).select("at.word", "at.mask", "rep", *fps), None
     while True:
         own = F.element_at(F.array(*fps), (F.col("word") + 1).cast("int"))
         keyed = todo.select("word", "mask", own.bitwiseAND(F.col("mask")).alias("key"), "rep", *fps)
-        large = durable(keyed.groupBy("word", "mask", "key").count().filter(F.col("count") > bucket).select("word", "mask", "key"))
+        large = durable(keyed.groupBy("word", "mask", "key").count().filter((F.col("count") > bucket) & (F.bit_count("mask") < 64 - few)).select("word", "mask", "key"))
         done = large.isEmpty()
         place = ["word", "mask", "key"]
         ready = keyed if done else keyed.join(large, place, "left_anti").select(*place, "rep", *fps)
@@ -180,10 +185,9 @@ def links(reps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, words
         out = found if out is None else out.unionByName(found)
         if done:
             return out.distinct()
-        finer = {m: _masks(m, distance) for m in level}
-        level = sorted({x for v in finer.values() for x in v})
-        table = spark.createDataFrame([(_signed(m), [_signed(x) for x in v]) for m, v in finer.items()], "mask long, finer array<long>")  # 15 masks a level before, each time
-        todo = keyed.join(large, place, "left_semi").join(F.broadcast(table), "mask").select("word", F.explode("finer").alias("mask"), "rep", *fps)
+        level = [r.mask for r in large.select("mask").distinct().collect()]
+        table = spark.createDataFrame([(m, [_signed(x) for x in _masks(m & (1 << 64) - 1, distance)]) for m in level], "mask long, finer array<long>")
+        todo = keyed.join(large, place, "left_semi").join(F.broadcast(table), "mask").select("word", F.explode("finer").alias("mask"), "rep", *fps).dropDuplicates(["word", "mask", "rep"])
 
 
 def components(edges: DataFrame) -> DataFrame:

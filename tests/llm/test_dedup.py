@@ -221,3 +221,23 @@ def test_similar_documents_in_large_buckets(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     assert got == dict(enumerate(label)) and 0 < sum(x == 0 for x in label) < n
     assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_links_end_where_many_fingerprints_share_a_word(spark):
+    rnd = np.random.default_rng(13)
+    base, fps = [int(x) for x in rnd.integers(-(2**63), 2**63, 4)], []
+    for k in range(200):
+        x = list(base) if k < 140 else [base[0], *(int(y) for y in rnd.integers(-(2**63), 2**63, 3))]
+        for b in rnd.integers(0, 64, rnd.integers(1, 30)):
+            w = int(rnd.integers(1, 4))
+            x[w] ^= simhash._signed(1 << int(b))
+        fps.append(x)
+    reps = spark.createDataFrame([(*x, i) for i, x in enumerate(fps)], "fp long, fp1 long, fp2 long, fp3 long, rep long")
+    got = {r.id: r.component for r in simhash.components(simhash.links(reps, 4, 64, words=4, total=24)).collect()}
+    label = list(range(200))
+    bits = [[[((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x, y, strict=True)] for y in fps] for x in fps]
+    near = [(i, j) for i in range(200) for j in range(i) if min(bits[i][j]) <= 4 and sum(bits[i][j]) <= 24]
+    for _ in range(200):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {i: got.get(i, i) for i in range(200)} == dict(enumerate(label)) and 100 < len(got) < 200
