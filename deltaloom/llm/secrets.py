@@ -24,6 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.~-]{15,}")
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|signature", re.IGNORECASE | re.ASCII)
+#: Parts of a candidate whose copies count as its own.
+_PART = re.compile(r"[A-Za-z0-9+]{16,}")
 HINTS = ("passw", "passp", "secret", "token", "key", "credential", "bearer", "authorization", "signature")
 #: Characters before a candidate in which a sensitive word must stand; text around it that is primed; bytes a character.
 NEAR, AROUND, NOVELTY = 64, 512, 0.75
@@ -61,8 +63,12 @@ class Scanner:
         return out
 
     def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes a character that a span adds to the frame of what stands around it."""
-        before, span, after = (x.encode() for x in (text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]))
+        """Bytes a character that a span adds to the frame of what stands around it. Its own copies there are blanked: a key is no less new for standing twice."""
+        run, wide = text[start:end], AROUND + end - start  # so wide that no copy is cut in two
+        left, right = text[max(0, start - wide) : start], text[end : end + wide]
+        for x in sorted({run, *_PART.findall(run)}, key=len, reverse=True):
+            left, right = left.replace(x, " "), right.replace(x, " ")
+        before, span, after = left[-AROUND:].encode(), run.encode(), right[:AROUND].encode()
         primer = zstandard.ZstdCompressionDict(self.dictionary + before + after, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
         lead = before[-64:]

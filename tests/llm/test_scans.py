@@ -317,3 +317,11 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
     assert out == {1: "my [secret], [secret]!", 2: None, 3: ""}
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_keys_that_are_repeated_nearby():
+    s, key = secrets.Scanner(), "q7Zt0kVx3LmP9sWd2RbY8fHcT5nQ1gJe"
+    for text in (f"bearer {key}\nbearer {key}\n", f"bearer {key} and then use({key}) of it", f"bearer {key}" + " word" * 101 + f" bearer {key}", f"secret is {key}, or as token url.{key}"):
+        spans = s.scan(text)["spans"]
+        assert spans.count("novel") == text.count(key) == 2
+        assert key not in s.redact(f"bearer {key}\nbearer {key}\n")
