@@ -24,8 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.~-]{15,}")
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|signature", re.IGNORECASE | re.ASCII)
-#: Parts of a candidate whose copies count as its own.
-_PART = re.compile(r"[A-Za-z0-9+]{16,}")
+#: Parts of a candidate whose copies count as its own; upper case after lower case or the reverse, past a word's first letter; a run of one class, longer than plain words are (24 letters, 16 digits).
+_PART, _CASES, _LONG = re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]"), re.compile(r"[a-z]{24}|[A-Z]{24}|[0-9]{16}")
 HINTS = ("passw", "passp", "secret", "token", "key", "credential", "bearer", "authorization", "signature")
 #: Characters before a candidate in which a sensitive word must stand; text around it that is primed; bytes a character.
 NEAR, AROUND, NOVELTY = 64, 512, 0.75
@@ -91,8 +91,8 @@ class Scanner:
 
     @staticmethod
     def _mixed(run: str) -> bool:
-        """Letters with digits, or both cases within: a plain word is no key."""
-        return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        """Letters with digits, both cases within a word, or a long run of one class: a plain word is no key."""
+        return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) or bool(_CASES.search(run) or _LONG.search(run))
 
     def scan(self, text: str | None) -> dict:
         base = sorted(self.base(text)) if text else []

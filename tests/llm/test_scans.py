@@ -325,3 +325,11 @@ def test_keys_that_are_repeated_nearby():
         spans = s.scan(text)["spans"]
         assert spans.count("novel") == text.count(key) == 2
         assert key not in s.redact(f"bearer {key}\nbearer {key}\n")
+
+
+def test_keys_of_letters_or_digits_only():
+    s = secrets.Scanner()
+    for key in ("qZtkVxLmPsWdRbYfHcTnQgJeAuXoKiBw", "qxzvkjwpfhgtbnmrlcdysaoeiuwqkzjx", "QXZVKJWPFHGTBNMRLCDYSAOEIUWQKZJX", "70391846250937418265"):
+        assert "novel" in s.scan(f"bearer {key} of it")["spans"], key
+    for name in ("getUserNameRequestTableColumn", "Internationalization-Telecommunications", "internationalization"):
+        assert "novel" not in s.scan(f"the secret {name} of it")["spans"], name
