@@ -7,9 +7,10 @@ state ``s`` that arcs labelled ``u`` lead to, redirects them to a copy of
 arc an arc ``uv`` to where ``v`` led. What remains accepts exactly the token
 sequences that the merges can leave behind, one for each word.
 
-A state is held as its parent copy plus the one arc that it lost; whether an
-arc is there follows from the losses along that chain, and answers are kept
-in a bounded transition table.
+A state is held as the state it copies and the one arc that it lost, an arc
+as the one it was set beside and when. Nothing else of the merges is kept:
+encoding walks from state 0, and a transition not yet in the bounded table is
+worked out from that chain of copies.
 """
 
 from __future__ import annotations
@@ -40,74 +41,85 @@ class MergeAutomaton:
     """The automaton of one vocabulary and its merges.
 
     ``suffix`` marks the last symbol of a word (empty if the vocabulary has
-    none). Raises ValueError if two merges make the same token, since paths
-    are then not unique.
+    none). Tokens that no merge can leave behind have no arc anywhere. Raises
+    ValueError if two merges make the same token, since paths are then not
+    unique.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "") -> None:
         self.labels = {i: s for s, i in vocab.items()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.rank: dict[int, dict[int, int]] = {}  # of the merges of each left part
-        self._ends: dict[int, list] = {}
-        self._begins: dict[int, list] = {}
-        self.target: dict[int, int] = {}  # the state that arcs with this label lead to
-        self.parent, self.lost = [-1], [-1]  # state 0 loses nothing
-        for r, (a, b) in enumerate(merges):
-            self._gadget(vocab[a], vocab[b], vocab[a + b] if not suffix or not a.endswith(suffix) else -1, r)
-        final = {t for s, t in vocab.items() if suffix and s.endswith(suffix) and len(s) > len(suffix)}
-        self.inner = {s: t for s, t in vocab.items() if t not in final}
-        self.final = {s[: -len(suffix)]: t for s, t in vocab.items() if t in final} if suffix else self.inner
+        bare = lambda s: s[: -len(suffix)] if suffix and s.endswith(suffix) and len(s) > len(suffix) else s
+        #: The state that arcs with a label lead to; labels without one have no arcs.
+        self.target = {t: 0 for s, t in vocab.items() if len(bare(s)) == 1}
+        #: Of each state: the copied state, the arc that the copy lacks, the label whose arcs lead to it. State 0 loops on all symbols.
+        self.parent, self.lost, self.label = [-1], [-1], [-1]
+        #: Of each made label: the label whose arcs it was set beside, and the first state that was not there then.
+        self.beside: dict[int, int] = {}
+        self.since: dict[int, int] = {}
+        #: Of each label: the arcs lost along its chain of copies, with the copies; where that chain begins.
+        self.losses: dict[int, dict[int, int]] = {}
+        self.root: dict[int, int] = {}
+        self.table: dict[int, int] = {}
+        made: set[int] = set()
+        for a, b in merges:
+            uv = vocab[a + b] if not suffix or not a.endswith(suffix) else -1
+            if uv in made or uv in self.target or uv < 0:
+                raise ValueError("two merges make one token; its automaton would not be deterministic")
+            made.add(uv)
+            self._gadget(vocab[a], vocab[b], uv)
+        self.table.clear()
+        live = {s: t for s, t in vocab.items() if t in self.target}
+        self.inner = {s: t for s, t in live.items() if bare(s) is s or not suffix}
+        self.final = {bare(s): t for s, t in live.items() if bare(s) is not s} if suffix else self.inner
         self.longest: dict[str, int] = {}  # of the labels that begin so, by up to 4 symbols
         for s in [*self.inner, *self.final]:
             for k in range(1, min(4, len(s)) + 1):
                 self.longest[s[:k]] = max(self.longest.get(s[:k], k), min(len(s), 3) if k < 4 else len(s))
-        self.table: dict[int, bool] = {}
-
-    def _gadget(self, u: int, v: int, uv: int, r: int) -> None:
-        if uv in self.born or uv < 0:
-            raise ValueError("two merges make one token; its automaton would not be deterministic")
-        self.left[uv], self.right[uv] = u, v
-        if not self._open(u, v):
-            self.born[uv] = r
-            return  # no path ever has v after u: the merge cannot apply
-        self.target[uv] = self.target.get(v, 0)
-        self.parent.append(self.target.get(u, 0))
-        self.lost.append(v)
-        self.target[u] = len(self.parent) - 1
-        self.rank.setdefault(u, {})[v] = r
-        self.born[uv] = r
-
-    def _spine(self, t: int, side: dict[int, int]) -> list[tuple[int, int]]:
-        """A token, its last (or first) part, that part's and so on, each with the rank of the merge that took it up."""
-        out, until = [(t, 1 << 62)], 0
-        while t in side:
-            until, t = self.born[t], side[t]
-            out.append((t, until))
-        return out
 
-    def _open(self, q: int, t: int) -> bool:
-        """Whether the state after token q has an arc t: it has neither lost t, nor lost, before t was made of them, a token that t begins with."""
-        if (ends := self._ends.get(q)) is None:
-            ends = self._ends[q] = self._spine(q, self.right)
-        if (begins := self._begins.get(t)) is None:
-            begins = self._begins[t] = self._spine(t, self.left)
-        rank = self.rank
-        for x, until in ends:
-            if (lost := rank.get(x)) is not None:
-                for y, made in begins:
-                    if (r := lost.get(y)) is not None and r < until and r <= made:
-                        return False
+    def _gadget(self, u: int, v: int, uv: int) -> None:
+        """Redirect the arcs u to a copy of their state without its arc v, and set arcs uv beside them."""
+        if u not in self.target or v not in self.target or not self._arc(self.target[u], v):
+            return  # no path has v after u: the merge cannot apply, nor can one of its token
+        new, old = len(self.parent), self.target[u]
+        self.parent.append(old)
+        self.lost.append(v)
+        self.label.append(u)
+        self.target[uv], self.target[u] = self.target[v], new
+        self.root.setdefault(u, old)
+        self.losses.setdefault(u, {})[v] = new
+        self.beside[uv], self.since[uv] = u, new + 1
+
+    def _arc(self, state: int, t: int) -> bool:
+        """Whether a state has an arc t, by its chain of copies back to state 0.
+
+        A copy made after arc t has it unless that is the arc it lost; a state
+        that was there before has it where it has the arc that t was set
+        beside. Copies of one label are passed at once by their losses.
+        """
+        beside, since, label, losses, root = self.beside, self.since, self.label, self.losses, self.root
+        while state:
+            own = label[state]
+            lost, x, top = losses[own], t, state
+            while True:
+                copy = lost.get(x)
+                if copy is not None and copy <= top:
+                    return False
+                if (y := beside.get(x)) is None:
+                    break
+                if since[x] <= top:
+                    top = since[x] - 1
+                x = y
+            state = root[own]
         return True
 
-    def open(self, q: int, t: int) -> bool:
-        key = q << 32 | t
-        if (known := self.table.get(key)) is None:
+    def step(self, state: int, t: int) -> int:
+        """The state that arc t leads to, or -1; transitions once worked out stay in the table."""
+        key = state << 20 | t
+        if (to := self.table.get(key)) is None:
             if len(self.table) >= TABLE:
                 self.table.clear()
-            known = self.table[key] = self._open(q, t)
-        return known
+            to = self.table[key] = self.target[t] if self._arc(state, t) else -1
+        return to
 
     def _reach(self, word: str, at: int) -> int:
         """A bound for the length of the longest label that the rest of a word begins with."""
@@ -115,31 +127,32 @@ class MergeAutomaton:
         return get(word[at : at + 4]) or get(word[at : at + 3]) or get(word[at : at + 2]) or 1
 
     def encode(self, word: str) -> list[int]:
-        """The only accepted path over a word's symbols: longest arcs first, and no position is left twice."""
+        """The labels of the only path from state 0 over a word's symbols: longest arcs are tried first, and no position is left twice."""
         n = len(word)
         if not n:
             return []
-        inner, final, reach, opened = self.inner, self.final, self._reach, self.open
+        inner, final, reach, step, known = self.inner.get, self.final.get, self._reach, self.step, self.table.get
         path: list[int] = []
-        starts, dead = [0], set()
+        states, starts, dead = [0], [0], set()
         nexts = [min(n, reach(word, 0))]
         while True:
-            at, size = starts[-1], nexts[-1]
-            last = path[-1] if path else -1
-            step = 0
+            at, size, state = starts[-1], nexts[-1], states[-1]
+            to = -1
             while size > 0:
                 end = at + size
-                if end not in dead:
-                    t = final.get(word[at:]) if end == n else inner.get(word[at:end])
-                    if t is not None and (last < 0 or opened(last, t)):
-                        step = size
+                t = final(word[at:]) if end == n else inner(word[at:end])
+                if t is not None and end not in dead:
+                    if (to := known(state << 20 | t)) is None:
+                        to = step(state, t)
+                    if to >= 0:
                         break
                 size -= 1
-            if step:
+            if to >= 0:
                 nexts[-1] = size - 1
                 path.append(t)
                 if end == n:
                     return path
+                states.append(to)
                 starts.append(end)
                 nexts.append(min(n - end, reach(word, end)))
             else:
@@ -147,6 +160,7 @@ class MergeAutomaton:
                     raise ValueError("a symbol is not in the vocabulary")
                 dead.add(at)
                 path.pop()
+                states.pop()
                 starts.pop()
                 nexts.pop()
 
@@ -156,16 +170,20 @@ class MergeAutomaton:
 
 
 class WordTable(dict):
-    """Words already encoded; a missing one walks the automaton. It is emptied when full."""
+    """Words already encoded; a missing one walks the automaton. When full it starts anew, and words of the table before come over as they are met."""
 
     def __init__(self, encode, size: int = WORDS) -> None:
         super().__init__()
-        self.encode, self.size = encode, size
+        self.encode, self.size, self.before = encode, size, {}
 
     def __missing__(self, word: str):
         if len(self) >= self.size:
+            self.before = dict(self)
             self.clear()
-        out = self[word] = self.encode(word)
+        out = self.before.get(word)
+        if out is None:
+            out = self.encode(word)
+        self[word] = out
         return out
 
 

@@ -60,6 +60,48 @@ def test_gadgets_against_merging_by_rank(seed):
         assert machine.decode(ids) == w
 
 
+def literal(vocab, merges):
+    """The construction with every state's arcs written out."""
+    arcs, target = [{t: 0 for s, t in vocab.items() if len(s) == 1}], {}
+    for a, b in merges:
+        u, v, uv = vocab[a], vocab[b], vocab[a + b]
+        s = next((x[u] for x in arcs if u in x), None)
+        if s is None or v not in arcs[s]:
+            continue
+        to = arcs[s][v]
+        arcs.append({t: x for t, x in arcs[s].items() if t != v})
+        for x in arcs:
+            if u in x:
+                x[u], x[uv] = len(arcs) - 1, to
+    return arcs
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_states_and_arcs_are_those_of_the_gadgets(seed):
+    rnd = random.Random(seed)
+    vocab, merges = {"a": 0, "b": 1, "c": 2}, []
+    while len(merges) < 14:  # any pairs, also those that no word ever leaves side by side
+        a, b = rnd.choice([*vocab]), rnd.choice([*vocab])
+        if a + b not in vocab and len(a + b) < 7:
+            merges.append((a, b))
+            vocab[a + b] = len(vocab)
+    machine, arcs = MergeAutomaton(vocab, merges), literal(vocab, merges)
+    assert len(machine.parent) == len(arcs)
+    assert [{t: to for t in machine.target if (to := machine.step(s, t)) >= 0} for s in range(len(arcs))] == arcs
+    ranks = {m: i for i, m in enumerate(merges)}
+    for _ in range(200):
+        w = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14)))
+        assert [machine.labels[i] for i in machine.encode(w)] == merge(w, ranks)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoding_needs_nothing_but_states_and_arcs(path):
+    whole = encoder(path)
+    kept = ("parent", "lost", "label", "target", "beside", "since", "losses", "root", "inner", "final", "longest", "labels", "table")
+    assert set(vars(whole.automaton)) == set(kept) and not hasattr(whole, "merges")
+    assert all(whole.automaton.losses[whole.automaton.label[s]][whole.automaton.lost[s]] == s for s in range(1, len(whole.automaton.parent)))
+
+
 def test_two_merges_of_one_token_are_refused():
     with pytest.raises(ValueError):
         MergeAutomaton({"a": 0, "aa": 1, "aaa": 2}, [("a", "a"), ("aa", "a"), ("a", "aa")])
