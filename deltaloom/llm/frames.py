@@ -15,9 +15,15 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches small, so that a Python worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Hold Arrow batches small, so that a Python worker's memory does not follow the length of texts.
+
+    Spark reads these two settings when a plan runs, so they stay lowered in
+    the session; smaller values of the caller are left as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def annotate(df: DataFrame, text: str | Column, fields: str, make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
@@ -57,8 +63,11 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; without that setting (tests), in a new local one."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a new folder; a cluster's executors would not share one, so RuntimeError is raised."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()

@@ -47,7 +47,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-     w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM d, range(1, 1000000) r(i) WHERE i <= len(ws) - 19),
+     w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
      later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
      gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 20))))) AS g FROM later GROUP BY doc_id),
      kept AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(g), 0) AS r, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i)) END AS k FROM d LEFT JOIN gone USING (doc_id))

@@ -6,18 +6,24 @@ window. Equal windows have equal prefixes, so trees of different prefixes
 share nothing, and suffixes of one document whose prefixes end in the same
 6-gram are shipped as one strip of words.
 
-1. Copies. Documents of equal word sequences are settled by their smallest id.
+1. Copies. Documents of equal word sequences are settled by the first of them.
 2. Grams. A gram that occurs in one word sequence only, once, has no repeat
    behind it: its suffixes need no tree.
-3. Strips. The others' strips are collected; equal strips merge in the
-   partial aggregation, so a passage shared by millions comes down to one.
-4. Trees. Strips are partitioned by gram. A task sorts the suffixes of as
-   many partitions as fit its memory, takes common prefixes of neighbours, and
-   so has the subtrees; nodes WINDOW words deep with two suffixes or more are
-   the repeats, whose earliest suffix stays. A gram with more than ``GROUP``
-   strips has its prefixes lengthened to the full window, where a node is one
-   key and needs only its minimum.
+3. Strips. The others' strips are named by gram and a hash, without their
+   words. Of equal strips the earliest stands for all, by partial aggregation,
+   so a passage shared by millions comes down to one; the rest are repeats.
+4. Trees. Where a gram has different strips, the words of those that stand
+   for the others are fetched, and partitioned by gram. A task sorts the
+   suffixes of as many partitions as fit its memory, takes common prefixes of
+   neighbours, and so has the subtrees; nodes WINDOW words deep with two
+   suffixes or more are the repeats, whose earliest suffix stays. The suffixes
+   of a gram with more than ``GROUP`` strips are split by longer prefixes, at
+   once as long as the window: such a prefix is a node of full depth, whose
+   suffixes need no sorting, only their earliest.
 5. Words that the windows of later suffixes cover are removed.
+
+A document is an id with a text. Documents are in order of their ids, null
+ids after all others, and of one id in order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm.automaton import WordTable
 from deltaloom.llm.frames import annotate, bounded_batches, durable
 
-WINDOW, GRAM, GROUP = 20, 6, 32_768
+WINDOW, GRAM, GROUP = 20, 6, 1024
 #: Suffixes that a task sorts at once, at most (a gram's strips are never parted).
 SORTED = 400_000
 #: Parts that rows of equal word sequences are dealt into.
@@ -72,6 +78,10 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def _out(columns: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
 def _survey(window: int, gram: int):
     """Word count, digest, and each document's distinct grams, and those that it has more than once."""
 
@@ -102,13 +112,14 @@ def _survey(window: int, gram: int):
 
 
 def _strips(window: int, gram: int):
-    """(doc_id, text, grams that repeat) -> strips of words: gram, id, first suffix, suffixes, words."""
+    """(late, doc, tie, text, grams that repeat) -> strips without words: gram, mark, late, doc, tie, first suffix, suffixes."""
+    kinds = {"gram": pa.int64(), "mark": pa.int64(), "late": pa.bool_(), "doc": pa.int64(), "tie": pa.int64(), "first": pa.int32(), "n": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(window, gram)
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cols: list[list] = [[] for _ in kinds]
+            for late, doc, tie, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = _words(text)
                 if len(w) < window:
                     continue
@@ -117,52 +128,71 @@ def _strips(window: int, gram: int):
                 first = np.flatnonzero(np.diff(at, prepend=-1))
                 last = np.append(first[1:], len(at))
                 keys = h[at[first]].view(np.int64)
-                raw = ids.tobytes()
                 ok = np.isin(keys, np.array(marked, np.int64))
-                for k, a, z in zip(keys[ok].tolist(), first[ok].tolist(), last[ok].tolist(), strict=True):
-                    strip = raw[8 * a : 8 * (z + window - 1)]
-                    for c, v in zip(cols, (k, doc, a, z - a, xxhash.xxh3_64_intdigest(strip) - (1 << 63), strip), strict=True):
+                raw, n = ids.tobytes(), int(ok.sum())
+                spans = list(zip(first[ok].tolist(), last[ok].tolist(), strict=True))
+                marks = [xxhash.xxh3_64_intdigest(raw[8 * x : 8 * (z + window - 1)]) - (1 << 63) for x, z in spans]
+                for c, v in zip(cols, (keys[ok].tolist(), marks, [late] * n, [doc] * n, [tie] * n, [x for x, _ in spans], [z - x for x, z in spans]), strict=True):
+                    c += v
+            yield _out(cols, kinds)
+
+    return run
+
+
+def _fetch(window: int, gram: int):
+    """(late, doc, tie, text, places) -> strips with their words, as hashes of 64 bits: gram, late, doc, tie, first, n, strip."""
+    kinds = {"gram": pa.int64(), "late": pa.bool_(), "doc": pa.int64(), "tie": pa.int64(), "first": pa.int32(), "n": pa.int32(), "strip": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(window, gram)
+        for b in batches:
+            cols: list[list] = [[] for _ in kinds]
+            for late, doc, tie, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = grams.ids(_words(text)).tobytes()
+                for x in places:
+                    strip = raw[8 * x["first"] : 8 * (x["first"] + x["n"] + window - 1)]
+                    for c, v in zip(cols, (x["gram"], late, doc, tie, x["first"], x["n"], strip), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "doc_id", "first", "n", "mark", "strip"])
+            yield _out(cols, kinds)
 
     return run
 
 
-def suffixes(strips: list[bytes], doc: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of some strips: their first words as a matrix, documents and places."""
+def suffixes(strips: list[bytes], names: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of some strips: their first words as a matrix, and their documents (rows of late, doc, tie) and places as another."""
     mats = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint64), window) for s in strips]
     n = np.array([len(m) for m in mats])
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return np.concatenate(mats), np.repeat(doc, n), place
+    return np.concatenate(mats), np.column_stack([np.repeat(names, n, axis=0), place])
 
 
-def deep_nodes(words: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deep_nodes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Build the subtrees over suffixes as a sorted array with the lengths of neighbours' common prefixes.
 
     Returns (the order, and along it whether a suffix belongs to a node of
     full depth whose earliest suffix stands before it).
     """
-    order = np.lexsort((place, doc, *words.T[::-1]))
+    order = np.lexsort((*at.T[::-1], *words.T[::-1]))
     tree = words[order]
     common = np.cumprod(tree[1:] == tree[:-1], axis=1, dtype=np.int8).sum(1)
     deep = np.concatenate([[False], common == words.shape[1]])
-    # rows that repeat an id give a suffix twice: what stands where its node's earliest suffix does is that suffix
-    moved = np.concatenate([[False], (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)])
+    # rows that repeat give a suffix twice: what stands where its node's earliest suffix does is that suffix
+    moved = np.concatenate([[False], (np.diff(at[order], axis=0) != 0).any(1)])
     moves = np.cumsum(deep & moved)
     root = np.maximum.accumulate(np.where(deep, 0, np.arange(len(deep))))
     return order, moves > moves[root]
 
 
-def _ranges(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Window starts as runs (doc_id, first, last)."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
+def _ranges(at: np.ndarray) -> pa.RecordBatch:
+    """Window starts (late, doc, tie, place) as runs (doc, tie, first, last)."""
+    doc, tie, place = at[:, 1], at[:, 2], at[:, 3]
+    order = np.lexsort((place, tie, doc))
+    doc, tie, place = doc[order], tie[order], place[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (place[1:] > place[:-1] + 1)
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[start], pa.int64()), pa.array(place[start], pa.int32()), pa.array(place[end], pa.int32())], names=["doc_id", "first", "last"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[start], pa.int64()), pa.array(tie[start], pa.int64()), pa.array(place[start], pa.int32()), pa.array(place[end], pa.int32())], names=["doc", "tie", "first", "last"])
 
 
 def _trees(window: int):
@@ -173,16 +203,16 @@ def _trees(window: int):
         size, last = 0, None
 
         def solve():
-            words, doc, place = suffixes([x[2] for x in held], np.array([x[0] for x in held]), np.array([x[1] for x in held]), window)
-            order, later = deep_nodes(words, doc, place)
-            return _ranges(doc[order][later], place[order][later])
+            words, at = suffixes([x[4] for x in held], np.array([x[:3] for x in held], np.int64), np.array([x[3] for x in held]), window)
+            order, later = deep_nodes(words, at)
+            return _ranges(at[order][later])
 
         for b in batches:
-            for gram, doc, first, n, strip in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for gram, late, doc, tie, first, n, strip in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if size > SORTED and gram != last:
                     yield solve()
                     held, size = [], 0
-                held.append((doc, first, strip))
+                held.append((late, doc, tie, first, strip))
                 size, last = size + n, gram
         if held:
             yield solve()
@@ -191,53 +221,59 @@ def _trees(window: int):
 
 
 def _spread(window: int):
-    """Strips of large groups -> one row a suffix, keyed by the hash of its whole window."""
+    """Strips of large groups -> one row a suffix, keyed by its whole window's hash."""
+    kinds = {"k1": pa.int64(), "k2": pa.int64(), "late": pa.bool_(), "doc": pa.int64(), "tie": pa.int64(), "first": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, first, strip in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k in range(len(strip) // 8 - window + 1):
+            cols: list[list] = [[] for _ in kinds]
+            for _, late, doc, tie, first, n, strip in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k in range(n):
                     h = xxhash.xxh3_128_intdigest(strip[8 * k : 8 * (k + window)])
-                    for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, first + k), strict=True):
+                    for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), late, doc, tie, first + k), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["k1", "k2", "doc_id", "first"])
+            yield _out(cols, kinds)
 
     return run
 
 
-def repeats(docs: DataFrame, survey: DataFrame, staying: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Runs (doc_id, first, last) of windows that start earlier elsewhere, among documents that are no copies of earlier ones.
+AT = "late boolean, doc long, tie long, first int"
+
 
-    docs: doc_id, text. survey: doc_id, full, gram, again. staying: doc_id.
+def repeats(texts: DataFrame, survey: DataFrame, staying: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Runs (doc, tie, first, last) of windows that start earlier elsewhere, among documents that are no copies of earlier ones.
+
+    texts: late, doc, tie, text. survey: full, doc, tie, gram, again. staying: doc, tie.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(texts.sparkSession)
     own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")
     # a gram that a document has twice counts as one of another document as well
     kinds = survey.select(own, F.explode("gram").alias("gram")).unionByName(survey.select((own + 1).alias("own"), F.explode("again").alias("gram")))
     counted = kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram")
-    marked = survey.select("doc_id", F.explode("gram").alias("gram")).join(counted, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams")).join(staying, "doc_id", "left_semi")
-    strips = docs.join(marked, "doc_id").select("doc_id", "text", "grams").mapInArrow(_strips(window, gram), "gram long, doc_id long, first int, n int, mark long, strip binary")
-    strips = durable(strips)
-    earliest = F.min(F.struct("doc_id", "first")).alias("e")
-    merged = durable(strips.groupBy("gram", "mark").agg(earliest, F.count(F.lit(1)).alias("copies")).select("gram", "mark", "e.doc_id", "e.first", "copies"))
-    later = (
-        strips.select("gram", "mark", "doc_id", "first", "n")
-        .join(merged.filter("copies > 1").select("gram", "mark", F.col("doc_id").alias("d"), F.col("first").alias("f")), ["gram", "mark"])
-        .filter("doc_id != d or first != f")
-        .select("doc_id", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    marked = survey.select("doc", "tie", F.explode("gram").alias("gram")).join(counted, "gram").groupBy("doc", "tie").agg(F.collect_set("gram").alias("grams")).join(staying, ["doc", "tie"], "left_semi")
+    strips = durable(texts.join(marked, ["doc", "tie"]).select("late", "doc", "tie", "text", "grams").mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int"))
+    place = F.struct("late", "doc", "tie", "first", "n")
+    merged = durable(strips.groupBy("gram", "mark").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("copies")))
+    runs = (
+        strips.join(merged.filter("copies > 1").select("gram", "mark", "e"), ["gram", "mark"])
+        .filter("doc != e.doc or tie != e.tie or first != e.first")
+        .select("doc", "tie", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     )
     groups = merged.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > group).alias("large"))
-    places = durable(merged.select("gram", "doc_id", "first").join(groups, "gram"))
-    # a place has one strip, so keys without words find it; words move once to their place and once to their gram
-    tagged = strips.select("gram", "doc_id", "first", "n", "strip").join(places, ["gram", "doc_id", "first"])
-    trees = tagged.filter("not large").select("gram", "doc_id", "first", "n", "strip").repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees(window), "doc_id long, first int, last int")
-    out = later.unionByName(trees)
+    places = durable(merged.select("gram", "e").join(groups, "gram").groupBy("e.doc", "e.tie", "large").agg(F.collect_list(F.struct("gram", "e.first", "e.n")).alias("places")))
+
+    def fetched(large: bool) -> DataFrame:
+        wanted = places.filter("large" if large else "not large").drop("large")
+        return texts.join(wanted, ["doc", "tie"]).select("late", "doc", "tie", "text", "places").mapInArrow(_fetch(window, gram), f"gram long, {AT}, n int, strip binary")
+
+    trees = fetched(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees(window), "doc long, tie long, first int, last int")
+    runs = runs.unionByName(trees)
     if not places.filter("large").isEmpty():
-        nodes = tagged.filter("large").select("doc_id", "first", "strip").mapInArrow(_spread(window), "k1 long, k2 long, doc_id long, first int")
-        least = nodes.groupBy("k1", "k2").agg(earliest)
-        out = out.unionByName(nodes.join(least, ["k1", "k2"]).filter("doc_id != e.doc_id or first != e.first").select("doc_id", "first", F.col("first").alias("last")))
-    return out
+        nodes = fetched(True).mapInArrow(_spread(window), f"k1 long, k2 long, {AT}")
+        least = nodes.groupBy("k1", "k2").agg(F.min(F.struct("late", "doc", "tie", "first")).alias("e"))
+        later = nodes.join(least, ["k1", "k2"]).filter("doc != e.doc or tie != e.tie or first != e.first")
+        runs = runs.unionByName(later.select("doc", "tie", "first", F.col("first").alias("last")))
+    return runs
 
 
 def cover(n: int, runs: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -253,36 +289,42 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept`` if asked for) of every row, with words of repeated windows removed.
 
     Null and empty texts have no words; texts shorter than the window lose
-    none. Ids order documents: of rows that repeat an id with the same text
-    each gets the same result, and ids must not repeat with different texts.
+    none. Documents are told apart by id and text: rows that repeat both get
+    the same result; other texts of one id, and of a null id, are documents of
+    their own, in the order that the module states. Of every repeated window
+    one place stays, the first.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    survey = annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["doc_id"])
-    survey = durable(survey)
-    base = survey.select("doc_id", "n_words", "full")
-    first = base.groupBy("full").agg(F.min("doc_id").alias("of")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("doc_id", "text").alias("tie"), "text")
+    survey = durable(annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["late", "doc", "tie"]))
+    base = survey.select("late", "doc", "tie", "n_words", "full")
+    first = base.groupBy("full").agg(F.min(F.struct("late", "doc", "tie")).alias("of")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # a group of copies may be a third of all rows: its rows are dealt out by salt, and adaptive execution can split what is still large
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    settled = durable(salted.join(first, ["full", "salt"]).drop("salt").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("of"))))
-    runs = repeats(docs, survey, settled.filter("stays").select("doc_id").distinct(), window, gram, group).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc", "tie"), F.lit(SALTS)).cast("int"))
+    settled = durable(salted.join(first, ["full", "salt"]).withColumn("stays", F.col("of") == F.struct("late", "doc", "tie")).drop("salt", "of"))
+    texts = docs
+    if not base.groupBy("doc", "tie").count().filter("count > 1").isEmpty():
+        texts = docs.dropDuplicates(["doc", "tie"])
+    found = repeats(texts, survey, settled.filter("stays").select("doc", "tie").distinct(), window, gram, group)
+    runs = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    kinds = {"doc": pa.int64(), "tie": pa.int64(), "removed": pa.int64(), "digest": pa.string(), "rest": pa.string()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, t, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cols: list[list] = [[] for _ in kinds]
+            for doc, tie, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = _words(t)
-                gone = cover(len(w), [(r["first"], r["last"]) for r in found], window)
+                gone = cover(len(w), [(r["first"], r["last"]) for r in places], window)
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
-                for c, v in zip(cols, (doc, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None), strict=True):
+                for c, v in zip(cols, (doc, tie, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "removed", "digest", "rest"])
+            yield _out(cols, kinds)
 
-    changed = docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, removed long, digest string, rest string").dropDuplicates(["doc_id"])
-    out = settled.join(changed, "doc_id", "left")
+    changed = texts.select("late", "doc", "tie", "text").join(runs, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(cut, "doc long, tie long, removed long, digest string, rest string")
+    out = settled.join(changed, ["doc", "tie"], "left")
     copy = ~F.col("stays") & (F.col("n_words") >= window)
-    columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.coalesce("digest", "full")).alias("kept_sha256")]
+    columns = [F.when(~F.col("late"), F.col("doc")).alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.coalesce("digest", "full")).alias("kept_sha256")]
     if with_text:
-        whole = docs.dropDuplicates(["doc_id"])
         words = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-        return out.join(whole, "doc_id", "left").select(*columns, F.when(copy, "").otherwise(F.coalesce("rest", words, F.lit(""))).alias("kept"))
+        return out.join(texts.drop("late"), ["doc", "tie"], "left").select(*columns, F.when(copy, "").otherwise(F.coalesce("rest", words, F.lit(""))).alias("kept"))
     return out.select(*columns)

@@ -59,6 +59,35 @@ def test_rows_that_repeat_an_id_get_the_same_result(spark):
     assert sorted(out) == sorted((i, want[i][1]) for i, _ in rows for _ in range(1 + i % 2))
 
 
+def test_documents_without_ids_and_ids_with_several_texts(spark):
+    rnd = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**6, n))
+    p, q = words(30), words(30)
+    rows = [(1, p), (1, "y " + p), (2, p + " z"), (None, q), (None, "u " + q), (7, q + " v"), (None, q), (0, p), (None, None)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(df, with_text=True).collect()]
+    assert len(got) == len(rows) and sorted(x for x in got if x[0] == 0) == [(0, 30, 0, p)]  # the smallest id keeps its passage
+    assert sorted(x[1:] for x in got if x[0] == 1) == [(30, 30, ""), (31, 30, "y")] and (2, 31, 30, "z") in got
+    assert (7, 31, 0, q + " v") in got  # null ids come after all others
+    assert sorted(x[1:] for x in got if x[0] is None) == [(0, 0, ""), (30, 30, ""), (30, 30, ""), (31, 30, "u")]
+    twice = [(None, p), (None, p), (3, None)]  # rows that repeat id and text are one document
+    got = substrings.dedup_substrings(spark.createDataFrame([(i, t, "x", 0) for i, t in twice], DOCS)).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(0, 0), (30, 0), (30, 0)]
+    mixed = [(1, "y " + q), (1, "x " + q), (1, q + " z")]  # one id: the first by the texts' hash keeps the passage
+    got = substrings.dedup_substrings(spark.createDataFrame([(i, t, "x", 0) for i, t in mixed], DOCS)).collect()
+    assert sorted(r.n_removed for r in got) == [0, 30, 30]
+
+
+def test_a_very_long_text_and_a_hot_passage(spark):
+    rnd = np.random.default_rng(6)
+    line = " ".join(f"a{x}" for x in range(25))
+    rows = [(0, " ".join(f"b{x}" for x in rnd.integers(0, 300, 40_000)))] + [(k, f"c{k} d{k} {line} e{k % 7} f{k}") for k in range(1, 200)] + [(300, (line + " ") * 400)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    for group in (10, 1 << 20):
+        out = substrings.dedup_substrings(df, group=group)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == {k: v[:3] for k, v in brute_substrings(rows, 20).items()}
+
+
 def test_substrings_query(spark, duck):
     same_rows(queries.op3_substring_dedup(spark, SF), duck.execute(queries.OP3_SQL))
 
@@ -166,10 +195,9 @@ def test_shards_fit_and_a_directory_covers_them(spark, limit):
         assert f"{h:032b}".startswith(r.shard)
         own[r.shard] = own.get(r.shard, 0) + len(r.text or "")
     assert all(own.get(s[:-1] + "01"[s[-1] == "0"], 0) + b > limit or any(t != s and t.startswith(s[:-1]) and len(t) > len(s) for t in own) for s, b in own.items() if s)
-    slots = sorted((r.slot, r.shard) for r in sharding.directory(out).collect())
-    depth = max(map(len, own))
-    assert len({s for s, _ in slots}) == len(slots) == sum(2 ** (depth - len(p)) for p in own)
-    assert all(depth == 0 or f"{s:0{depth}b}".startswith(p) for s, p in slots)
+    slots = sorted(map(tuple, sharding.directory(sharding.histogram(df, ["doc_id"]), limit).select("first_slot", "last_slot", "shard", "shard_bytes").collect()))
+    assert {p: b for *_, p, b in slots} == own and all(z < a for (_, z, *_), (a, *_) in zip(slots, slots[1:], strict=False))
+    assert all(a == int(p.ljust(32, "0"), 2) and z == int(p.ljust(32, "1"), 2) for a, z, p, _ in slots)
 
 
 def test_one_key_that_does_not_fit_ends_with_all_bits(spark):
@@ -178,6 +206,16 @@ def test_one_key_that_does_not_fit_ends_with_all_bits(spark):
     assert got[1] == (32, 200) and got[2][1] <= 100 and got[None][1] <= 100
 
 
+def test_directories_of_very_different_depths_and_clashing_columns(spark):
+    rows = [(1, "x" * 1000, "a", "b", "c")] * 3 + [(i, "y", "a", "b", None) for i in range(2, 40)] + [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string, prefix string, shard string")
+    out = sharding.assign_shards(df, ["doc_id"], 100)
+    assert out.columns == ["doc_id", "text", "hash", "prefix", "shard", "local_depth", "shard_bytes", "shard_rows"]
+    got = out.collect()
+    assert len(got) == 43 and {(r.local_depth, r.shard_rows) for r in got if r.doc_id == 1} == {(32, 3)}
+    assert all(r.shard_bytes <= 100 for r in got if r.doc_id != 1) and {(r.hash, r.prefix) for r in got if r.doc_id == 2} == {("a", "b")}
+
+
 def brute_alike(a, b, shingle=5):
     x, y = ({tuple(t.split()[k : k + shingle]) for k in range(max(1, len(t.split()) - shingle + 1))} for t in (a, b))
     return len(x & y) / len(x | y)
