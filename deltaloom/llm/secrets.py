@@ -5,6 +5,12 @@ novelty is what it adds to the compressed size of the text around it, with a
 dictionary of identifiers, code idioms and that text primed: prose, paths and
 names compress away, random strings do not. A candidate is reported as a
 ``novel`` span if it costs at least ``NOVELTY`` bytes a character.
+
+What makes a candidate, and what its surroundings are, is part of the method:
+it starts at most NEAR characters after a sensitive word, has 16 characters or
+more, and is measured against AROUND characters on either side. It has
+letters and digits, or both cases within a word, or a run of one class that is
+longer than plain words are (``_LONG``); other words are not measured.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.~-]{15,}")
+RUN, FIRST, LEAST = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}"), re.compile(r"[A-Za-z0-9]"), 16
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|signature", re.IGNORECASE | re.ASCII)
 #: Parts of a candidate whose copies count as its own; upper case after lower case or the reverse, past a word's first letter; a run of one class, longer than plain words are (24 letters, 16 digits).
 _PART, _CASES, _LONG = re.compile(r"[A-Za-z0-9+]{16,}"), re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]"), re.compile(r"[a-z]{24}|[A-Z]{24}|[0-9]{16}")
@@ -65,9 +71,9 @@ class Scanner:
     def marginal(self, text: str, start: int, end: int) -> float:
         """Bytes a character that a span adds to the frame of what stands around it. Its own copies there are blanked: a key is no less new for standing twice."""
         run, wide = text[start:end], AROUND + end - start  # so wide that no copy is cut in two
-        left, right = text[max(0, start - wide) : start], text[end : end + wide]
-        for x in sorted({run, *_PART.findall(run)}, key=len, reverse=True):
-            left, right = left.replace(x, " "), right.replace(x, " ")
+        own = set(_PART.findall(run))
+        blank = lambda x: _PART.sub(lambda m: " " if m[0] in own else m[0], x.replace(run, " "))
+        left, right = blank(text[max(0, start - wide) : start]), blank(text[end : end + wide])
         before, span, after = left[-AROUND:].encode(), run.encode(), right[:AROUND].encode()
         primer = zstandard.ZstdCompressionDict(self.dictionary + before + after, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -75,19 +81,25 @@ class Scanner:
         return (len(packer.compress(lead + span)) - len(packer.compress(lead))) / len(span)
 
     def novel(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, 3, end) of candidates that are new enough. Sensitive words and runs of key characters are each passed once."""
         low, out = text.lower(), []
         if not any(h in low for h in HINTS):
             return out
-        stops = [m.end() for m in SENSITIVE.finditer(text)]
-        at = 0
-        for stop in stops:
-            for m in CANDIDATE.finditer(text, max(stop, at), len(text)):
-                if m.start() > stop + NEAR:
+        runs = [m.span() for m in RUN.finditer(text)]
+        at = k = 0
+        for stop in (m.end() for m in SENSITIVE.finditer(text)) if runs else ():
+            while k < len(runs) and runs[k][1] - max(stop, at, runs[k][0]) < LEAST:
+                k += 1
+            for j in range(k, len(runs)):
+                begin, end = runs[j]
+                if begin > stop + NEAR:
                     break
-                at = m.end()
-                if self._mixed(m.group()) and self.marginal(text, m.start(), m.end()) >= self.novelty:
-                    out.append((m.start(), 3, m.end()))
-        return sorted(set(out))
+                first = FIRST.search(text, max(stop, at, begin), min(end, stop + NEAR + 1))
+                if first and end - first.start() >= LEAST:
+                    start, at = first.start(), end
+                    if self._mixed(text[start:end]) and self.marginal(text, start, end) >= self.novelty:
+                        out.append((start, 3, end))
+        return out
 
     @staticmethod
     def _mixed(run: str) -> bool:
