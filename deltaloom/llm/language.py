@@ -15,13 +15,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm.frames import annotate
 
 #: Bounds of the sample and the trees: rows a language, UTF-8 bytes of a row, languages, bytes of context, cells of the table.
 SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES, ORDER, CELLS = 300, 16_384, 512, 3, 1 << 14
+#: Rows of a language whose rows are all longer than that.
+LONG_ROWS = 16
 UNIT = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,7 +65,7 @@ class Trees:
 
 
 def fit(samples: dict[str, list[bytes]], order: int = ORDER, cells: int = CELLS) -> Trees:
-    """Count contexts of each language's sample. Of longer contexts the most frequent are kept, ``cells`` divided by the languages of them."""
+    """Count contexts of each language's sample. The model is bounded: of longer contexts the most frequent are kept, ``cells`` divided by the languages of them (256 at least); bytes after others are coded one context shorter."""
     languages = sorted(samples)
     grams: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language, by context length: codes of context and byte, counts
     for lang in languages:
@@ -117,26 +119,41 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, cells: int = CELLS)
     return Trees(languages, child, whole.reshape(n * 256, -1), order)
 
 
-def sample(df: DataFrame, text: str, lang: str, learn: F.Column, order_by: F.Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """The first ``rows`` texts of each language by ``order_by``, of those with 1 to ``most_bytes`` bytes; whole texts.
+def sample(df: DataFrame, text: str, lang: str, learn: F.Column, place: F.Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
+    """The first ``rows`` texts of each language by ``place``, of those with 1 to ``most_bytes`` bytes; whole texts, ties by text.
 
-    At most LANGUAGES languages; more raise ValueError.
+    A language that has only longer texts gives its shortest ones, as far as
+    ``most_bytes * LONG_ROWS`` bytes reach, and at least one. Of more than LANGUAGES
+    languages those with the most rows are learned. Both limits are cut before
+    anything is collected, however many rows share an id or a text.
     """
-    rows_of = df.filter(learn & F.col(lang).isNotNull() & F.octet_length(text).between(1, most_bytes)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), order_by.alias("place"))
-    sizes = {r[0]: r[1] for r in rows_of.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return {}
-    # a threshold on the hash leaves each language a few more rows than wanted, wherever they lie; the exact cut is made here
-    keep = F.lit(False)
-    for name, n in sizes.items():
-        share = min(1.0, (rows + 6 * rows**0.5 + 20) / n)
-        keep = keep | ((F.col("lang") == name) & (F.col("place") <= F.lit(int(-(2**63) + share * (2**64 - 1025)))))
-    found: dict[str, list] = {}
-    for r in rows_of.filter(keep).collect():
-        found.setdefault(r.lang, []).append((r.place, r.text))
-    return {k: [t.encode() for _, t in sorted(v)[:rows]] for k, v in found.items()}
+    learned = df.filter(learn & F.col(f"`{lang}`").isNotNull() & (F.octet_length(F.col(f"`{text}`")) > 0)).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), place.alias("place"))
+    short = F.octet_length("text") <= most_bytes
+    sizes = {r.lang: r.n for r in learned.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_if(short).alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
+
+    def first(of: DataFrame, n: int, *order) -> dict[str, list[bytes]]:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+        found: dict[str, list] = {}
+        for r in of.withColumn("rank", rank).filter(F.col("rank") <= n).collect():
+            found.setdefault(r.lang, []).append((r.rank, r.text.encode()))
+        return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+
+    out: dict[str, list[bytes]] = {}
+    some = {k: n for k, n in sizes.items() if n}
+    if some:
+        # a threshold on the place leaves each language a few more rows than wanted, so that few are ranked
+        keep = F.lit(False)
+        for name, n in some.items():
+            share = min(1.0, (rows + 6 * rows**0.5 + 20) / n)
+            keep = keep | ((F.col("lang") == name) & (F.col("place") <= F.lit(int(-(2**63) + share * (2**64 - 1025)))))
+        out = first(learned.filter(short & keep), rows, "place", "text")
+        if few := [k for k, n in some.items() if len(out.get(k, [])) < min(n, rows)]:  # rows that share places: rank all
+            out |= first(learned.filter(short & F.col("lang").isin(few)), rows, "place", "text")
+    if long := [k for k, n in sizes.items() if not n]:
+        for k, texts in first(learned.filter(F.col("lang").isin(long)), LONG_ROWS, F.octet_length("text"), "place", "text").items():
+            total = np.cumsum([len(t) for t in texts])
+            out[k] = [t for t, n in zip(texts, total.tolist(), strict=True) if n <= most_bytes * LONG_ROWS] or texts[:1]
+    return out
 
 
 def identify(df: DataFrame, trees: Trees | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -178,6 +195,6 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Trees | None:
-    """Trees learned from a bounded sample of the rows that are not held out; None if there are none."""
-    found = sample(df, text, lang, ~held_out(doc_id), F.xxhash64(F.col(doc_id), F.lit("ppm")))
+    """Trees learned from a bounded sample (:func:`sample`) of the rows that are not held out; None if there are none. The sample's order hashes id and text, so null and repeated ids are rows like others."""
+    found = sample(df, text, lang, ~held_out(doc_id), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit("ppm")))
     return fit(found) if found else None
