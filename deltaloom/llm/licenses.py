@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from deltaloom.llm.frames import annotate
+from deltaloom.llm.license_texts import CLOSE, OPEN, TEMPLATES
 
 #: Words: A-Z lower-cased; ASCII other than letters and digits separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -23,32 +24,6 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-_OPEN, _CLOSE = "<<beginOptional>>", "<<endOptional>>"
-_YEAR = '<<var;match="[0-9]{4}";words=4>>'
-_NAME = '<<var;match=".+";words=8>>'
-
-#: Labels and wordings: short notices as people write them, and the best known texts.
-TEMPLATES: list[tuple[str, str]] = [
-    ("mit", f'<<var;match="released|licensed|distributed|available|provided";words=1>> under {_OPEN}the{_CLOSE} {_OPEN}terms of the{_CLOSE} MIT License'),
-    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
-     f"The above copyright notice and this permission notice {_OPEN}(including the next paragraph){_CLOSE} shall be included in all copies or substantial portions of the Software."),
-    ("apache-2.0", f'<<var;match="released|licensed|distributed|available|provided";words=1>> under {_OPEN}the{_CLOSE} {_OPEN}terms of the{_CLOSE} Apache License {_OPEN},{_CLOSE} Version 2.0'),
-    ("gpl-2.0", f'{_OPEN}GNU{_CLOSE} General Public License {_OPEN}as published by the Free Software Foundation; either{_CLOSE} Version 2 {_OPEN}of the License, or (at your option) any later version{_CLOSE}'),
-    ("gpl-3.0", f'{_OPEN}GNU{_CLOSE} General Public License {_OPEN}as published by the Free Software Foundation, either{_CLOSE} Version 3 {_OPEN}of the License, or (at your option) any later version{_CLOSE}'),
-    ("lgpl", 'GNU Lesser General Public License'),
-    ("agpl", 'GNU Affero General Public License'),
-    ("cc-by-4.0", f'{_OPEN}licensed under{_CLOSE} CC BY 4.0'),
-    ("cc-by-nc-4.0", f'{_OPEN}licensed under{_CLOSE} CC BY NC 4.0'),
-    ("cc-by-sa-4.0", f'{_OPEN}licensed under{_CLOSE} CC BY SA 4.0'),
-    ("cc-by", f'Creative Commons Attribution <<var;match="[0-9]";words=2>> {_OPEN}International{_CLOSE} {_OPEN}Public{_CLOSE} License'),
-    ("cc0", 'CC0 1.0 Universal'),
-    ("mpl-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
-    ("bsd", f'Redistribution and use in source and binary forms, with or without modification, are permitted {_OPEN}(subject to the limitations in the disclaimer below){_CLOSE} provided that the following conditions are met'),
-    ("isc", f'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies'),
-    ("unlicense", 'This is free and unencumbered software released into the public domain'),
-    ("copyright", f'Copyright {_OPEN}(c){_CLOSE} {_YEAR} {_NAME} All rights reserved'),
-]
-
 
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8, with A-Z lower-cased; none for null."""
@@ -69,9 +44,9 @@ class Automaton:
         self = cls()
         at, optional, longest = 0, [], b""
         for part in re.split(r"(<<[^<>]*>>)", template):
-            if part == _OPEN:
+            if part == OPEN:
                 optional.append(at)
-            elif part == _CLOSE:
+            elif part == CLOSE:
                 self.free[optional.pop()].append(at)
             elif part.startswith("<<var;"):
                 test = re.compile(re.search(r'match="(.*?)"', part)[1].encode())
