@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from deltaloom.llm.automaton import WordTable, encoder
 from deltaloom.llm.frames import annotate
@@ -41,6 +43,11 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+def _lists(ids: list[array]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32)))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``ids`` (array of int) and ``n_tokens`` to every row.
 
@@ -53,7 +60,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
         def work(texts):
             ids = [codec.encode(t or "") for t in texts]
-            return {"ids": pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), "n_tokens": [len(x) for x in ids]}
+            return {"ids": _lists(ids), "n_tokens": [len(x) for x in ids]}
 
         return work
 
@@ -62,8 +69,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``decoded`` to every row with an array of ids; null arrays decode to ""."""
-    from pyspark.sql import functions as F
-
     def make():
         codec = Codec(path)
         return lambda rows: {"decoded": [codec.decode([int(x) for x in r.split(",")] if r else []) for r in rows]}
@@ -71,21 +76,22 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     return annotate(df, F.array_join(F.col(f"`{ids}`"), ","), "decoded string", make, keep)
 
 
-def digest(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode each text; add the token count and SHA-256 of the ids (little-endian, 32 bits) and of the decoded text."""
+def digest(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode each text; add the token count and SHA-256 of the ids (little-endian, 32 bits) and of the decoded text, and ``ids`` if asked for.
+
+    Null and empty texts give no ids. Rows and other columns stay; columns of
+    the same names are replaced.
+    """
 
     def make():
         codec = Codec(path)
 
         def work(texts):
-            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for t in texts:
-                ids = codec.encode(t or "")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            return out
+            ids = [codec.encode(t or "") for t in texts]
+            out = {"n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]}
+            out["decoded_sha256"] = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids]
+            return out | ({"ids": _lists(ids)} if with_ids else {})
 
         return work
 
-    return annotate(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep)
+    return annotate(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), make, keep)

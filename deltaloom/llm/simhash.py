@@ -334,8 +334,8 @@ def _verify(shingle: int, least: float):
     return run
 
 
-def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id and component_id (the smallest id reachable over pairs of texts whose sets of shingles are at least ``least`` alike) of every row.
+def _similar_rows(df: DataFrame, text: str, doc_id: str, shingle: int, least: float) -> DataFrame:
+    """doc_id, row (a hash of id and text) and component of every row: a number of the group of texts connected over pairs whose sets of shingles are at least ``least`` alike.
 
     Candidates agree on the bits of a band of their wide fingerprints, of
     distinct shingles, and are verified on their texts. In a bucket of many,
@@ -343,7 +343,7 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     connected to, so no pair of a bucket is left out.
     """
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def make():
         def work(texts):
@@ -352,14 +352,14 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return work
 
-    docs = durable(annotate(rows.withColumn("row", F.xxhash64("doc_id", "text")), "text", "node long, bits binary", make, keep=["doc_id", "row"]))
+    docs = durable(annotate(rows, "text", "node long, bits binary", make, keep=["doc_id", "row"]))
     nodes = durable(docs.groupBy("node").agg(F.min("row").alias("row"), F.min("bits").alias("bits")))
     found = nodes.select("node", "bits").mapInArrow(_bands, "key long, node long, sketch long").repartition("key").sortWithinPartitions("key")
     found = durable(found.mapInArrow(_first_pairs, "key long, u long, v long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-        texts = rows.withColumn("row", F.xxhash64("doc_id", "text")).join(used, "row").dropDuplicates(["row"]).select("node", "text")
+        texts = rows.join(used, "row").dropDuplicates(["row"]).select("node", "text")
         both = pairs.join(texts.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "b"}), "v")
         return durable(both.select("u", "v", "a", "b").mapInArrow(_verify(shingle, least), "u long, v long").distinct())
 
@@ -371,5 +371,32 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cross = durable(cross.join(first, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
         classes = components(edges.unionByName(verified(cross)))
-    joined = docs.join(classes, docs.node == classes.id, "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return docs.join(classes, docs.node == classes.id, "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
+
+
+def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest id reachable over pairs of texts whose sets of shingles are at least ``least`` alike) of every row.
+
+    Null and empty texts are alike. Rows that repeat stay; of rows with a null
+    id only their partners' smallest id is known.
+    """
+    joined = _similar_rows(df, text, doc_id, shingle, least)
     return joined.join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+
+
+def drop_similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of similar documents, with all its columns: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text: another text under the same id stays
+    if it is like no other, and of rows that repeat both, in whatever other
+    columns, one stays.
+    """
+    found = durable(_similar_rows(df, text, doc_id, shingle, least).select("component", F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("id"), "row").alias("at")))
+    kept = found.groupBy("component").agg(F.min("at").alias("kept"))
+    marks = durable(found.join(kept, "component").groupBy("at").agg((F.max("kept") == F.col("at")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1").select("at.id", "at.row", "stays"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("row"))
+    marked = rows.join(marks, ["id", "row"], "left").filter("coalesce(stays, true)")
+    out = marked.filter("stays is null").select("all")
+    if not marks.filter("stays").isEmpty():
+        out = out.unionByName(marked.filter("stays").dropDuplicates(["id", "row"]).select("all"))
+    return out.select(*[F.col(f"all.`{c}`") for c in df.columns])
