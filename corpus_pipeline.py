@@ -22,10 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document of the smallest id. Rows without an id stay."""
-    groups = simhash.similar_documents(docs, shingle=SHINGLE, least=ALIKE)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates keep one document, that of the smallest id; ids that repeat or are missing are told apart by their texts."""
+    return simhash.drop_similar(docs, shingle=SHINGLE, least=ALIKE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts, with each document's id, language and source."""
-    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
+    """Token ids, their number, and digests of ids and decoded texts, with each document's id, language and source."""
+    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"], with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("bpe", encode)]
 
-#: Learned language trees, hash links and BPE have no SQL; the tests hold each stage against brute force.
+#: Learned language trees, links of similar texts and BPE have no SQL; tests/llm/test_pipeline.py holds the whole run against brute force.
 ORACLE_SQL = None
 
 
