@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,12 +63,36 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a new folder; a cluster's executors would not share one, so RuntimeError is raised."""
-    context = df.sparkSession.sparkContext
+#: Below this, a table that is read may be a single split.
+SMALL_BYTES = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out to all cores. Spark splits files by size, and those of one row group not at all; larger tables stay as they are read."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a new one; a cluster's executors would not share it, so RuntimeError is raised."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table in the shared folder: compressed, and read by column, where rows are many and wide."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,13 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.automaton import WordTable
-from deltaloom.llm.frames import annotate, bounded_batches, durable
+from deltaloom.llm.frames import annotate, bounded_batches, tabled
 
-WINDOW, GRAM, GROUP = 20, 6, 1024
+WINDOW, GRAM, GROUP = 20, 6, 4096
 #: Suffixes that a task sorts at once, at most (a gram's strips are never parted).
 SORTED = 400_000
-#: Parts that rows of equal word sequences are dealt into.
-SALTS = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -243,24 +241,25 @@ AT = "late boolean, doc long, tie long, first int"
 def repeats(texts: DataFrame, survey: DataFrame, staying: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Runs (doc, tie, first, last) of windows that start earlier elsewhere, among documents that are no copies of earlier ones.
 
-    texts: late, doc, tie, text. survey: full, doc, tie, gram, again. staying: doc, tie.
+    texts: late, doc, tie, text. survey: full, gram, again. staying: full, doc, tie.
     """
     bounded_batches(texts.sparkSession)
-    own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")
+    own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")  # of copies the same; of others too, by chance, only marks more grams
     # a gram that a document has twice counts as one of another document as well
     kinds = survey.select(own, F.explode("gram").alias("gram")).unionByName(survey.select((own + 1).alias("own"), F.explode("again").alias("gram")))
     counted = kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram")
-    marked = survey.select("doc", "tie", F.explode("gram").alias("gram")).join(counted, "gram").groupBy("doc", "tie").agg(F.collect_set("gram").alias("grams")).join(staying, ["doc", "tie"], "left_semi")
-    strips = durable(texts.join(marked, ["doc", "tie"]).select("late", "doc", "tie", "text", "grams").mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int"))
+    grams = survey.select(own, F.explode("gram").alias("gram")).join(counted, "gram").groupBy("own").agg(F.collect_set("gram").alias("grams"))
+    marked = tabled(staying.select(own, "doc", "tie").join(grams, "own").select("doc", "tie", "grams"))
+    strips = tabled(texts.join(marked, ["doc", "tie"]).select("late", "doc", "tie", "text", "grams").mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int"))
     place = F.struct("late", "doc", "tie", "first", "n")
-    merged = durable(strips.groupBy("gram", "mark").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("copies")))
+    merged = tabled(strips.groupBy("gram", "mark").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("copies")))
     runs = (
         strips.join(merged.filter("copies > 1").select("gram", "mark", "e"), ["gram", "mark"])
         .filter("doc != e.doc or tie != e.tie or first != e.first")
         .select("doc", "tie", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     )
     groups = merged.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > group).alias("large"))
-    places = durable(merged.select("gram", "e").join(groups, "gram").groupBy("e.doc", "e.tie", "large").agg(F.collect_list(F.struct("gram", "e.first", "e.n")).alias("places")))
+    places = tabled(merged.select("gram", "e").join(groups, "gram").groupBy("e.doc", "e.tie", "large").agg(F.collect_list(F.struct("gram", "e.first", "e.n")).alias("places")))
 
     def fetched(large: bool) -> DataFrame:
         wanted = places.filter("large" if large else "not large").drop("large")
@@ -296,23 +295,22 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("doc_id", "text").alias("tie"), "text")
-    survey = durable(annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["late", "doc", "tie"]))
+    survey = tabled(annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["late", "doc", "tie"]))
     base = survey.select("late", "doc", "tie", "n_words", "full")
-    first = base.groupBy("full").agg(F.min(F.struct("late", "doc", "tie")).alias("of")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # a group of copies may be a third of all rows: its rows are dealt out by salt, and adaptive execution can split what is still large
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc", "tie"), F.lit(SALTS)).cast("int"))
-    settled = durable(salted.join(first, ["full", "salt"]).withColumn("stays", F.col("of") == F.struct("late", "doc", "tie")).drop("salt", "of"))
+    first = base.groupBy("full").agg(F.min(F.struct("late", "doc", "tie")).alias("of"))
+    # a group of copies may be a third of all rows: what it makes of one side of this join, adaptive execution splits
+    settled = tabled(base.join(first, "full").withColumn("stays", F.col("of") == F.struct("late", "doc", "tie")).drop("of"))
     texts = docs
     if not base.groupBy("doc", "tie").count().filter("count > 1").isEmpty():
         texts = docs.dropDuplicates(["doc", "tie"])
-    found = repeats(texts, survey, settled.filter("stays").select("doc", "tie").distinct(), window, gram, group)
+    found = repeats(texts, survey, settled.filter("stays").select("full", "doc", "tie").distinct(), window, gram, group)
     runs = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kinds = {"doc": pa.int64(), "tie": pa.int64(), "removed": pa.int64(), "digest": pa.string(), "rest": pa.string()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in kinds]
-            for doc, tie, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, doc, tie, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = _words(t)
                 gone = cover(len(w), [(r["first"], r["last"]) for r in places], window)
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
@@ -320,7 +318,8 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     c.append(v)
             yield _out(cols, kinds)
 
-    changed = texts.select("late", "doc", "tie", "text").join(runs, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(cut, "doc long, tie long, removed long, digest string, rest string")
+    # with the same columns of texts as in the joins above, so that they are dealt out once for all of them
+    changed = texts.join(runs, ["doc", "tie"]).select("late", "doc", "tie", "text", "runs").mapInArrow(cut, "doc long, tie long, removed long, digest string, rest string")
     out = settled.join(changed, ["doc", "tie"], "left")
     copy = ~F.col("stays") & (F.col("n_words") >= window)
     columns = [F.when(~F.col("late"), F.col("doc")).alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.coalesce("digest", "full")).alias("kept_sha256")]
