@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.frames import annotate, durable
 
-RATE, RECALL, WALKS, SAMPLE, AGREE = 0.2, 0.99, 8, 3, 0.45
+RATE, RECALL, WALKS, SAMPLE, AGREE = 0.2, 0.99, 8, 3, 0.35
 #: Steps of a walk that are sampled, for each word of an item: a walk moves on at every second step, so most end within the window.
 STEPS = 1.25
 #: Items and bytes of a block: one is broadcast at a time, whatever the benchmark's size.
