@@ -11,9 +11,11 @@ of 8 for the DC term, so that the thumbnail gives back each byte exactly.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +32,7 @@ DC_SYMBOLS = list(range(12))
 AC_LENGTHS, AC_SYMBOLS = [1] + [0] * 15, [0]
 
 
-def _codes(lengths: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
+def _codes(lengths: Sequence[int], symbols: Sequence[int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (code, length), as canonical codes are dealt out."""
     out, code, k = {}, 0, 0
     for n, count in enumerate(lengths, 1):
@@ -41,8 +43,9 @@ def _codes(lengths: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]
     return out
 
 
-def _lookup(lengths: list[int], symbols: list[int]) -> np.ndarray:
-    """For each 16 bits ahead: symbol << 8 | code length (0: no such code)."""
+@functools.lru_cache(maxsize=32)
+def _lookup(lengths: tuple[int, ...], symbols: tuple[int, ...]) -> np.ndarray:
+    """For each 16 bits ahead: symbol << 8 | code length (0: no such code). Tables that have been met are kept."""
     out = np.zeros(1 << 16, np.int32)
     for s, (code, n) in _codes(lengths, symbols).items():
         out[code << 16 - n : code + 1 << 16 - n] = s << 8 | n
@@ -139,12 +142,12 @@ def _fast(dc: tuple, ac: tuple) -> np.ndarray:
         if len(_FAST) > 16:
             _FAST.clear()
         ahead = np.arange(1 << 16)
-        found = _lookup(*map(list, dc))
+        found = _lookup(*dc)
         n, size = found & 255, found >> 8
         ok = (n > 0) & (n + size < 16)
         n, size = np.where(ok, n, 0), np.where(ok, size, 0)
         value = _extend(ahead >> (16 - n - size) & (1 << size) - 1, size)
-        end = _lookup(*map(list, ac))[(ahead << n + size) & 0xFFFF]
+        end = _lookup(*ac)[(ahead << n + size) & 0xFFFF]
         ok &= (end >> 8 == 0) & (end & 255 > 0) & (n + size + (end & 255) <= 16)
         _FAST[dc, ac] = np.where(ok, value + 2048 << 8 | n + size + (end & 255), 0).astype(np.int32)
     return _FAST[dc, ac]
@@ -169,13 +172,13 @@ def _lanes(bits: np.ndarray, at: np.ndarray, count: np.ndarray, layout: list[tup
             value, p = (found >> 8) - 2048, p + (found & 255)
             if (rest := np.flatnonzero(found == 0)).size:  # blocks with AC terms or of more bits
                 q = p[rest]
-                sym = _lookup(*map(list, dc))[ahead(q)]
+                sym = _lookup(*dc)[ahead(q)]
                 if (sym & 255 == 0).any():
                     raise ValueError("no such code")
                 q, size = q + (sym & 255), sym >> 8
                 value[rest] = _extend(ahead(q) >> (16 - size) & (1 << size) - 1, size)
                 q = q + size
-                table, k_ac, open_ = _lookup(*map(list, ac)), np.ones(len(q), np.int64), np.arange(len(q))
+                table, k_ac, open_ = _lookup(*ac), np.ones(len(q), np.int64), np.arange(len(q))
                 while open_.size:
                     sym = table[ahead(q[open_])]
                     if (sym & 255 == 0).any():

@@ -219,6 +219,45 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
 
 
+def plain_jpeg(payload):
+    """The stored form of up to 8,128 rows of 64 bytes, bit by bit from the standard's rules: flat blocks, a restart after each row."""
+    out = b"\xff\xd8" + b"\xff\xdb\x00\x43\x00\x08" + b"\x01" * 63
+    rows = len(payload) // 64
+    out += b"\xff\xc0\x00\x0b\x08" + (8 * rows).to_bytes(2, "big") + (512).to_bytes(2, "big") + b"\x01\x01\x11\x00"
+    out += b"\xff\xc4\x00\x1f\x00" + bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]) + bytes(range(12))
+    out += b"\xff\xc4\x00\x14\x10" + bytes([1] + [0] * 15) + b"\x00" + b"\xff\xdd\x00\x04\x00\x40" + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
+    code = ["00", "010", "011", "100", "101", "110", "1110", "11110", "111110"]
+    for r in range(rows):
+        bits, before = [], 128
+        for x in payload[64 * r : 64 * r + 64]:
+            d, before = x - before, x
+            n = abs(d).bit_length()
+            bits.append(code[n] + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "") + "0")
+        text = "".join(bits)
+        text += "1" * (-len(text) % 8)
+        raw = bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+        out += raw.replace(b"\xff", b"\xff\x00") + (bytes([0xFF, 0xD0 + r % 8]) if r < rows - 1 else b"")
+    return out + b"\xff\xd9"
+
+
+def plain_feature(payload):
+    """Width and height, and for each of 8x8 cells whether its mean is less than that of the next to the right."""
+    h = len(payload) // 64
+    ys, xs = [int(h * k / 8) for k in range(9)], [int(64 * k / 9) for k in range(10)]
+    mean = lambda a, b, c, d: sum(payload[64 * y + x] for y in range(a, b) for x in range(c, d)) * 1000 // max((b - a) * (d - c), 1)
+    cells = [[mean(ys[i], ys[i + 1], xs[j], xs[j + 1]) for j in range(9)] for i in range(8)]
+    return f"512x{8 * h}:{int(''.join('01'[c[j + 1] > c[j]] for c in cells for j in range(8)), 2):016x}"
+
+
+def test_stored_forms_and_features_against_plain_python(spark):
+    docs = docs_of(spark)
+    for r in queries.op5_media_columns(spark, SF).collect():
+        raw = (docs[r.doc_id].text or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media_bytes = plain_jpeg(padded)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media_bytes), hashlib.sha256(media_bytes).hexdigest(), plain_feature(padded)), r.doc_id
+
+
 def test_media_of_nulls_and_of_what_is_no_image(spark):
     df = spark.createDataFrame([(1, None, "q"), (1, None, "q"), (2, "", "q"), (3, "x" * 2_000_000, "q")], "doc_id long, text string, feature string")
     out = media.media_columns(df).cache()
