@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, decontaminate, language, secrets, simhash
-from deltaloom.llm.frames import durable
+from deltaloom.llm.frames import dealt, tabled
 
 #: Posterior that a language must reach.
 LEAST_SCORE = 0.5
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else durable(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else tabled(docs), sf_dir)
     return docs
