@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm.automaton import WordTable
 from deltaloom.llm.frames import annotate, bounded_batches, tabled
 
-WINDOW, GRAM, GROUP = 20, 6, 4096
+WINDOW, GRAM, GROUP = 20, 6, 32_768
 #: Suffixes that a task sorts at once, at most (a gram's strips are never parted).
 SORTED = 400_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -109,15 +109,31 @@ def _survey(window: int, gram: int):
     return make
 
 
+#: An odd multiplier of polynomial hashes, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def marks(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, equal for equal runs wherever they stand: differences of prefix sums, scaled back to the run's start."""
+    power = np.full(len(ids), BASE, np.uint64)
+    back = np.full(len(ids) + 1, INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    total = np.concatenate([[np.uint64(0)], np.cumsum(ids * np.multiply.accumulate(power), dtype=np.uint64)])
+    h = (total[end] - total[first]) * np.multiply.accumulate(back)[first] + (end - first).astype(np.uint64)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x7FB5D329728EA185)
+    return (h ^ h >> np.uint64(29)).view(np.int64)
+
+
 def _strips(window: int, gram: int):
-    """(late, doc, tie, text, grams that repeat) -> strips without words: gram, mark, late, doc, tie, first suffix, suffixes."""
+    """(late, doc, tie, text) -> strips without words: gram, mark, late, doc, tie, first suffix, suffixes."""
     kinds = {"gram": pa.int64(), "mark": pa.int64(), "late": pa.bool_(), "doc": pa.int64(), "tie": pa.int64(), "first": pa.int32(), "n": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(window, gram)
         for b in batches:
-            cols: list[list] = [[] for _ in kinds]
-            for late, doc, tie, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            key, mark, start, size, of = [], [], [], [], []
+            for i, text in enumerate(b.column(3).to_pylist()):
                 w = _words(text)
                 if len(w) < window:
                     continue
@@ -125,14 +141,15 @@ def _strips(window: int, gram: int):
                 h, at = grams.anchors(ids)
                 first = np.flatnonzero(np.diff(at, prepend=-1))
                 last = np.append(first[1:], len(at))
-                keys = h[at[first]].view(np.int64)
-                ok = np.isin(keys, np.array(marked, np.int64))
-                raw, n = ids.tobytes(), int(ok.sum())
-                spans = list(zip(first[ok].tolist(), last[ok].tolist(), strict=True))
-                marks = [xxhash.xxh3_64_intdigest(raw[8 * x : 8 * (z + window - 1)]) - (1 << 63) for x, z in spans]
-                for c, v in zip(cols, (keys[ok].tolist(), marks, [late] * n, [doc] * n, [tie] * n, [x for x, _ in spans], [z - x for x, z in spans]), strict=True):
-                    c += v
-            yield _out(cols, kinds)
+                key.append(h[at[first]].view(np.int64))
+                mark.append(marks(ids, first, last + window - 1))
+                start.append(first)
+                size.append(last - first)
+                of.append(np.full(len(first), i))
+            join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            rows = pa.array(join(of))
+            columns = [pa.array(join(key)), pa.array(join(mark)), *(b.column(k).take(rows) for k in range(3)), pa.array(join(start).astype(np.int32)), pa.array(join(size).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return run
 
@@ -238,19 +255,17 @@ def _spread(window: int):
 AT = "late boolean, doc long, tie long, first int"
 
 
-def repeats(texts: DataFrame, survey: DataFrame, staying: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Runs (doc, tie, first, last) of windows that start earlier elsewhere, among documents that are no copies of earlier ones.
+def repeats(texts: DataFrame, survey: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Runs (doc, tie, first, last) of windows that start earlier elsewhere. Of copies only the first has a place that stands for others.
 
-    texts: late, doc, tie, text. survey: full, gram, again. staying: full, doc, tie.
+    texts: late, doc, tie, text. survey: full, gram, again.
     """
     bounded_batches(texts.sparkSession)
-    own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")  # of copies the same; of others too, by chance, only marks more grams
+    own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")  # of copies the same
     # a gram that a document has twice counts as one of another document as well
     kinds = survey.select(own, F.explode("gram").alias("gram")).unionByName(survey.select((own + 1).alias("own"), F.explode("again").alias("gram")))
     counted = kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram")
-    grams = survey.select(own, F.explode("gram").alias("gram")).join(counted, "gram").groupBy("own").agg(F.collect_set("gram").alias("grams"))
-    marked = tabled(staying.select(own, "doc", "tie").join(grams, "own").select("doc", "tie", "grams"))
-    strips = tabled(texts.join(marked, ["doc", "tie"]).select("late", "doc", "tie", "text", "grams").mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int"))
+    strips = tabled(texts.mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int").join(counted, "gram", "left_semi"))
     place = F.struct("late", "doc", "tie", "first", "n")
     merged = tabled(strips.groupBy("gram", "mark").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("copies")))
     runs = (
@@ -303,8 +318,8 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = docs
     if not base.groupBy("doc", "tie").count().filter("count > 1").isEmpty():
         texts = docs.dropDuplicates(["doc", "tie"])
-    found = repeats(texts, survey, settled.filter("stays").select("full", "doc", "tie").distinct(), window, gram, group)
-    runs = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeats(texts, survey, window, gram, group).groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = runs.join(settled.filter("not stays").select("doc", "tie").distinct(), ["doc", "tie"], "left_anti")
     kinds = {"doc": pa.int64(), "tie": pa.int64(), "removed": pa.int64(), "digest": pa.string(), "rest": pa.string()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

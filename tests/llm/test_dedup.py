@@ -78,6 +78,16 @@ def test_documents_without_ids_and_ids_with_several_texts(spark):
     assert sorted(r.n_removed for r in got) == [0, 30, 30]
 
 
+def test_marks_tell_runs_apart_and_no_more():
+    rnd = np.random.default_rng(3)
+    ids = rnd.integers(0, 3, 4000).astype(np.uint64) * np.uint64(0x123456789ABCDEF1)
+    first = rnd.integers(0, 3900, 3000)
+    end = first + rnd.integers(1, 30, 3000)
+    got = substrings.marks(ids, first, end).tolist()
+    runs = [tuple(ids[a:z].tolist()) for a, z in zip(first, end, strict=True)]
+    assert len(set(zip(got, runs, strict=True))) == len(set(got)) == len(set(runs))
+
+
 def test_a_very_long_text_and_a_hot_passage(spark):
     rnd = np.random.default_rng(6)
     line = " ".join(f"a{x}" for x in range(25))

@@ -319,6 +319,71 @@ def test_code_lengths_against_a_walk():
         assert [abs(int(g) - slow_bits(samples[lang], 3, t, trees)) <= 2 for g, t in zip(got[:, k], texts, strict=True)] == [True] * 4
 
 
+def kept_contexts(samples, order, cells):
+    """Contexts that the model keeps, by its rule: the shorter first, of a length the most frequent, met twice or more and below a kept one."""
+    kept, most = [b""], max(256, cells // len(samples))
+    for d in range(1, order + 1):
+        total = {}
+        for texts in samples.values():
+            for t in texts:
+                for i in range(d, len(t)):
+                    total[t[i - d : i]] = total.get(t[i - d : i], 0) + 1
+        for c, n in sorted(total.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "big"))):
+            if n >= 2 and len(kept) < most and c[1:] in kept_set(kept):
+                kept.append(c)
+    return set(kept)
+
+
+def kept_set(kept, seen={}):  # noqa: B006  the set of a list that only grows
+    if seen.get("of") is not kept:
+        seen.update(of=kept, n=0, set=set())
+    seen["set"].update(kept[seen["n"] :])
+    seen["n"] = len(kept)
+    return seen["set"]
+
+
+def test_predictions_against_a_plain_model(spark):
+    """Contexts, code lengths, labels and scores on real documents, from a model built with dictionaries."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    samples = language.sample(df, "text", "lang", ~language.held_out(), F.xxhash64("doc_id", "text"), rows=8, most_bytes=1500)
+    trees = language.fit(samples, cells=2048)
+    kept = kept_contexts(samples, 3, 2048)
+    assert len(kept) == len(trees.child) // 2
+    tables = {}
+    for lang, texts in samples.items():
+        tables[lang] = {}
+        for t in texts:
+            for i in range(len(t)):
+                for d in range(min(3, i) + 1):
+                    if t[i - d : i] in kept:
+                        row = tables[lang].setdefault(t[i - d : i], {})
+                        row[t[i]] = row.get(t[i], 0) + 1
+
+    def cost(table, context, b):
+        row = table.get(context)
+        if row is None:
+            return cost(table, context[1:], b) if context else 8.0
+        total = sum(row.values()) + len(row)
+        if b in row:
+            return np.log2(total / row[b])
+        return np.log2(total / len(row)) + (cost(table, context[1:], b) if context else 8.0)
+
+    some = [r for r in docs_of(spark).values() if r.text and any(c.isalpha() for c in r.text)][:12]
+    got = {r.doc_id: r for r in language.identify(df, trees).collect()}
+    for r in some:
+        t = r.text.encode()
+        bits = {}
+        for lang in sorted(samples):
+            n = 0
+            for i in range(len(t)):
+                d = next(d for d in range(min(3, i), -1, -1) if t[i - d : i] in kept)
+                n += min(65_535, round(cost(tables[lang], t[i - d : i], t[i]) * 256))
+            bits[lang] = n / 256
+        best = min(bits, key=lambda k: bits[k])
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 / sum(2.0 ** max(-1000.0, bits[best] - b) for b in bits.values()), abs=1e-3)
+
+
 def test_language_query_is_accurate_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
