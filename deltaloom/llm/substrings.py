@@ -264,7 +264,8 @@ def repeats(texts: DataFrame, survey: DataFrame, window: int = WINDOW, gram: int
     own = F.conv(F.substring("full", 1, 15), 16, 10).cast("long").alias("own")  # of copies the same
     # a gram that a document has twice counts as one of another document as well
     kinds = survey.select(own, F.explode("gram").alias("gram")).unionByName(survey.select((own + 1).alias("own"), F.explode("again").alias("gram")))
-    counted = kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram")
+    # written, so that joins see its size, and can split a gram that a third of the documents has
+    counted = tabled(kinds.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("z")).filter("a != z").select("gram"))
     strips = tabled(texts.mapInArrow(_strips(window, gram), f"gram long, mark long, {AT}, n int").join(counted, "gram", "left_semi"))
     place = F.struct("late", "doc", "tie", "first", "n")
     merged = tabled(strips.groupBy("gram", "mark").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("copies")))
@@ -273,7 +274,7 @@ def repeats(texts: DataFrame, survey: DataFrame, window: int = WINDOW, gram: int
         .filter("doc != e.doc or tie != e.tie or first != e.first")
         .select("doc", "tie", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     )
-    groups = merged.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > group).alias("large"))
+    groups = tabled(merged.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > group).alias("large")))
     places = tabled(merged.select("gram", "e").join(groups, "gram").groupBy("e.doc", "e.tie", "large").agg(F.collect_list(F.struct("gram", "e.first", "e.n")).alias("places")))
 
     def fetched(large: bool) -> DataFrame:
@@ -312,7 +313,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("doc_id", "text").alias("tie"), "text")
     survey = tabled(annotate(docs, "text", "n_words long, full string, gram array<long>, again array<long>", _survey(window, gram), keep=["late", "doc", "tie"]))
     base = survey.select("late", "doc", "tie", "n_words", "full")
-    first = base.groupBy("full").agg(F.min(F.struct("late", "doc", "tie")).alias("of"))
+    first = tabled(base.groupBy("full").agg(F.min(F.struct("late", "doc", "tie")).alias("of")))
     # a group of copies may be a third of all rows: what it makes of one side of this join, adaptive execution splits
     settled = tabled(base.join(first, "full").withColumn("stays", F.col("of") == F.struct("late", "doc", "tie")).drop("of"))
     texts = docs
