@@ -36,6 +36,10 @@ class Range:
     nulls: bool = True
     nothing: bool = False
 
+    def current(self) -> tuple[Any, Any] | None:
+        """The bounds, both included (None: open); None if no key passes."""
+        return None if self.nothing else (self.lo, self.lo if self.hi is _SAME else self.hi)
+
     def test(self, key: Column) -> Column:
         hi = self.lo if self.hi is _SAME else self.hi
         out = F.lit(not self.nothing)
@@ -59,6 +63,10 @@ class Keys:
             return replace(self, without=(self.without - put) | del_)
         return replace(self, chosen=(self.chosen - del_) | put)
 
+    def current(self) -> tuple[frozenset | None, frozenset]:
+        """The keys chosen (None: all) and those left out."""
+        return self.chosen, self.without
+
     @property
     def autoexpand(self) -> bool:
         """Whether keys not seen yet will be selected."""
@@ -156,6 +164,25 @@ class Cube:
     def length(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("length"))
 
+    def filter_of(self, selection: dict[str, Any], name: str) -> Any:
+        """What a dimension filters at present: bounds of a range, chosen and left-out keys of a set; None without a filter."""
+        if name not in self.dimensions:
+            raise KeyError(name)
+        wanted = selection.get(name)
+        return wanted if wanted is None else wanted.current()
+
+    def in_set_order(self, name: str, selection: dict[str, Any] | None = None, n: int | None = None, arrival: str | Column | None = None) -> DataFrame:
+        """Rows that pass, with ``dimension_key``, key by key in the order in which keys first came by ``arrival`` (default: the cube's key), rows of a key and those without one last in that order too.
+
+        A set is read forwards only: n <= 0 gives nothing. A multiple
+        dimension gives one row for each key.
+        """
+        d, at = self.dimensions[name], column(arrival if arrival is not None else f"`{self.key}`")
+        rows = self.df.filter(self.own(selection or {})).select((F.explode_outer(d.key) if d.multiple else d.key).alias("dimension_key"), at.alias("__at"), "*")
+        came = self.df.select((F.explode_outer(d.key) if d.multiple else d.key).alias("__k"), at.alias("__first")).filter("__k is not null").groupBy("__k").agg(F.min("__first").alias("__first"))
+        out = rows.join(came, F.col("dimension_key") == F.col("__k"), "left").orderBy(F.asc_nulls_last("__first"), F.col("dimension_key"), "__at", self.key).drop("__at", "__k", "__first")
+        return out if n is None else out.limit(max(0, n))
+
     def row(self, key: Any) -> DataFrame:
         return self.df.filter(F.col(self.key) == key)
 
@@ -187,12 +214,13 @@ class Cube:
 
 @dataclass(frozen=True)
 class Link:
-    """Rows of ``source`` refer by ``keys`` (an array) to rows of ``target``."""
+    """Rows of ``source`` refer to rows of ``target``: by ``keys`` (one, or an array), or by ``pairs``, a table of both keys (``s``, ``t``)."""
 
     source: str
     target: str
-    keys: Column
+    keys: Column | None
     nulls: bool = True
+    pairs: DataFrame | None = None
 
     @property
     def edge(self) -> tuple[str, str]:
@@ -219,9 +247,17 @@ class Model:
         out._add(Link(source, target, column(keys), nulls))
         return out
 
+    def link_pairs(self, source: str, target: str, pairs: DataFrame, source_key: str, target_key: str, nulls: bool = True) -> Model:
+        """A model with one more link, whose edges are rows of a table of both keys, such as the items of orders: nothing is gathered in arrays. Edges of rows that the source does not have count for nothing."""
+        out = Model(self.cubes.values(), self.links)
+        out._add(Link(source, target, None, nulls, pairs.select(F.col(source_key).alias("s"), F.col(target_key).alias("t"))))
+        return out
+
     def _edges(self, x: Link) -> DataFrame:
         """Distinct (s, t) pairs of keys of a link; null keys are none."""
         cube = self.cubes[x.source]
+        if x.pairs is not None:
+            return x.pairs.filter("s is not null and t is not null").distinct().join(cube.df.select(F.col(cube.key).alias("s")), "s", "left_semi")
         kind = cube.df.select(x.keys.alias("k")).schema["k"].dataType.typeName()
         each = cube.df.select(F.col(cube.key).alias("s"), (F.explode(x.keys) if kind == "array" else x.keys).alias("t"))
         return each.filter("t is not null").distinct()
@@ -245,44 +281,52 @@ class Model:
         fate = seen.groupBy(F.col("t").alias("key")).agg(F.max(F.col("live").isNotNull()).alias("pass"))
         return rows.join(fate, "key", "left").filter(F.coalesce("pass", F.lit(True))).select("key")
 
-    def _tree(self) -> list[tuple[Link, str, str]] | None:
-        """Narrowing steps (link, narrowed cube, by cube) leaf to root, then root to leaf; None if links form a cycle."""
-        steps, seen = [], set()
+    def _tree(self) -> bool:
+        """Whether the links form a forest."""
+        seen: set[str] = set()
         for root in self.cubes:
-            if root in seen:
-                continue
-            seen.add(root)
-            todo, down = [root], []
-            used: set[int] = set()
+            todo = [] if root in seen else [(root, None)]
             while todo:
-                at = todo.pop(0)
-                for i, x in enumerate(self.links):
-                    if i in used or at not in x.edge:
-                        continue
-                    used.add(i)
-                    to = x.target if x.source == at else x.source
-                    if to in seen:
-                        return None
-                    seen.add(to)
-                    todo.append(to)
-                    down.append((x, to, at))
-            steps += [(x, at, to) for x, to, at in reversed(down)] + down
-        return steps
+                at, link = todo.pop()
+                if at in seen:
+                    return False
+                seen.add(at)
+                todo += [(x.target if x.source == at else x.source, x) for x in self.links if at in x.edge and x is not link]
+        return True
+
+    def _beyond(self, name: str, without: frozenset[str]) -> list[tuple[Link, str]]:
+        """Links of a cube with the cube at their other end, but for some cubes."""
+        out = [(x, x.target if x.source == name else x.source) for x in self.links if name in x.edge]
+        return [(x, other) for x, other in out if other not in without]
+
+    def _restricts(self, selection: dict[str, dict[str, Any]], x: Link, name: str, without: frozenset[str]) -> bool:
+        """Whether anything over a link can hide rows: a filter there, or a link that hides rows without edges."""
+        return not x.nulls or bool(selection.get(name)) or any(self._restricts(selection, y, other, without | {name}) for y, other in self._beyond(name, without))
+
+    def _reduced(self, selection: dict[str, dict[str, Any]], name: str, without: frozenset[str] = frozenset()) -> DataFrame:
+        """Keys of a cube that its own filters and what lies over its links let pass, but for links to some cubes. Only for forests of links.
+
+        In a forest, what hides a row of the root comes from its branches
+        alone, each narrowed from its leaves on: one pass, no way back.
+        """
+        cube = self.cubes[name]
+        rows = cube.df.filter(cube.own(selection.get(name, {}))).select(F.col(cube.key).alias("key"))
+        for x, other in self._beyond(name, without):
+            if self._restricts(selection, x, other, without | {name}):
+                rows = self._narrow(x, name, rows, self._reduced(selection, other, without | {name}))
+        return rows
 
     def visible_keys(self, selection: dict[str, dict[str, Any]]) -> dict[str, DataFrame]:
         """Keys of visible rows of each cube: own filters, narrowed over all links until nothing changes.
 
-        A forest of links needs one pass to the root and one back. A cycle
+        In a forest of links each cube is narrowed from the leaves on. A cycle
         is iterated, with counts to tell the end.
         """
+        if self._tree():
+            return {n: self._reduced(selection, n) for n in self.cubes}
         keys = {n: c.df.filter(c.own(selection.get(n, {}))).select(F.col(c.key).alias("key")) for n, c in self.cubes.items()}
         if not any(selection.get(n) for n in self.cubes) and all(x.nulls for x in self.links):
             return keys
-        steps = self._tree()
-        if steps is not None:
-            for x, at, by in steps:
-                keys[at] = self._narrow(x, at, keys[at], keys[by])
-            return keys
         before = None
         while True:
             for x in self.links:
@@ -349,7 +393,10 @@ class Model:
 
     def project(self, selection: dict[str, dict[str, Any]], chain: list[str], keys: dict[str, DataFrame] | None = None) -> DataFrame:
         """Distinct tuples of keys of visible rows along a chain of linked cubes, one column a cube."""
-        live = keys or self.visible_keys(selection)
+        if keys is not None or not self._tree():
+            live = keys or self.visible_keys(selection)
+        else:  # along the chain the tuples themselves are the links: only what lies beside it narrows a cube
+            live = {n: self._reduced(selection, n, frozenset(chain) - {n}) for n in chain}
         out = live[chain[0]].withColumnRenamed("key", chain[0])
         for a, b in zip(chain, chain[1:], strict=False):
             x = next((y for y in self.links if {a, b} == {y.source, y.target}), None)

@@ -7,8 +7,12 @@ A transaction has ``id``, ``ts``, ``measures`` (map to double) and
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltaloom.operators import graph
 
@@ -31,7 +35,14 @@ def changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     a = before.select(F.struct(*before.columns).alias("prev"))
     b = after.select(F.struct(*before.columns).alias("now"))
     both = a.join(b, F.col(f"prev.{key}") == F.col(f"now.{key}"), "full_outer")
-    return both.filter(F.to_json("prev").isNull() | F.to_json("now").isNull() | (F.to_json("prev") != F.to_json("now")))
+    kinds = before.schema
+
+    def plain(side: str, c: str) -> Column:  # maps are equal in whatever order their entries are
+        x = F.col(f"{side}.`{c}`")
+        return F.array_sort(F.map_entries(x)) if isinstance(kinds[c].dataType, T.MapType) else x
+
+    same = functools.reduce(operator.and_, [plain("prev", c).eqNullSafe(plain("now", c)) for c in before.columns])
+    return both.filter(F.col("prev").isNull() | F.col("now").isNull() | ~same)
 
 
 def diff_rows(change: DataFrame) -> DataFrame:
@@ -44,11 +55,22 @@ def diff_rows(change: DataFrame) -> DataFrame:
     return rows.select("id", F.col("p.m").alias("m"), F.explode("p.dims").alias("dimension")).select("id", "dimension", F.explode("m").alias("measure", "delta"))
 
 
-def spread(rows: DataFrame, tree: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with ``dimension`` repeated for each ancestor, each ancestor once for equal ``by``."""
-    reach = tree.select(F.col("src").alias("dimension"), F.col("dst").alias("__up")).distinct()
-    up = rows.join(reach, "dimension").select(*[c for c in rows.columns if c != "dimension"], F.col("__up").alias("dimension"))
-    return rows.unionByName(up).dropDuplicates([*by, "dimension"])
+def members(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, members): what each transaction's ``dimensions`` are tied to, themselves and their ancestors, each once.
+
+    Only ids and members move; what is gathered is bounded by the members
+    above one transaction.
+    """
+    reach = tree.groupBy(F.col("src").alias("__m")).agg(F.collect_set("dst").alias("__up"))
+    each = rows.select("id", F.explode(F.array_distinct("dimensions")).alias("__d")).filter("__d is not null")
+    ups = F.array_union(F.array("__d"), F.coalesce("__up", F.array().cast("array<string>")))
+    return each.join(reach, F.col("__d") == F.col("__m"), "left").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(ups))).alias("members"))
+
+
+def spread(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, dimension, measure, v): a transaction's measures at each member that it is tied to or below, once."""
+    each = members(rows, tree).join(rows.select("id", "measures"), "id")
+    return each.select("id", "measures", F.explode("members").alias("dimension")).select("id", "dimension", F.explode("measures").alias("measure", "v"))
 
 
 def change_transactions(change: DataFrame, tree: DataFrame) -> DataFrame:
@@ -58,33 +80,51 @@ def change_transactions(change: DataFrame, tree: DataFrame) -> DataFrame:
     what a change makes of it is all of now, if reached now, less all of
     prev, if reached then.
     """
-    sides = []
-    for side, sign in (("now", 1), ("prev", -1)):
-        rows = change.filter(F.col(side).isNotNull()).select(F.col(f"{side}.id").alias("id"), F.col(f"{side}.measures").alias("m"), F.explode(f"{side}.dimensions").alias("dimension"))
-        each = spread(rows, tree, ["id"]).select("dimension", F.explode("m").alias("measure", "v"))
-        sides.append(each.select("dimension", "measure", (F.col("v") * sign).alias("delta")))
-    return sides[0].unionByName(sides[1]).groupBy("dimension", "measure").agg(F.sum("delta").alias("delta"))
+    # both sides go through the hierarchy together, told apart by their sign in the id
+    sides = [change.filter(F.col(side).isNotNull()).select(F.struct(F.lit(sign).alias("sign"), F.col(f"{side}.id").alias("id")).alias("id"), F.col(f"{side}.measures").alias("measures"), F.col(f"{side}.dimensions").alias("dimensions")) for side, sign in (("now", 1), ("prev", -1))]
+    each = spread(sides[0].unionByName(sides[1]), tree)
+    return each.groupBy("dimension", "measure").agg(F.sum(F.col("v") * F.col("id.sign")).alias("delta"))
 
 
 def rollup(transactions: DataFrame, tree: DataFrame) -> DataFrame:
     """(dimension, measure, total, transactions): each transaction once for each member it is tied to or below."""
-    rows = transactions.select("id", "measures", F.explode("dimensions").alias("dimension"))
-    each = spread(rows, tree, ["id"]).select("dimension", F.explode("measures").alias("measure", "v"))
-    return each.groupBy("dimension", "measure").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("transactions"))
+    return spread(transactions, tree).groupBy("dimension", "measure").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("transactions"))
 
 
 def change_dimensions(transactions: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(dimension, measure, delta) that a change of hierarchy edges makes: rollups under the closures of both, compared.
+    """(dimension, measure, delta) that a change of hierarchy edges makes.
 
-    A member that a deletion takes must be gone from ``after`` and from the
-    transactions' dimensions; :func:`drop_members` does both.
+    Only transactions tied to a member at or below a changed edge are rolled
+    up, under the closures of both. A member that a deletion takes must be
+    gone from ``after`` and from the transactions' dimensions;
+    :func:`drop_members` does both.
     """
-    old = rollup(transactions, graph.closure(before)).select("dimension", "measure", (-F.col("total")).alias("v"))
-    new = rollup(transactions, graph.closure(after)).select("dimension", "measure", F.col("total").alias("v"))
-    out = old.unionByName(new).groupBy("dimension", "measure").agg(F.sum("v").alias("delta"))
+    old, new = graph.closure(before), graph.closure(after)
+    a, b = before.select("src", "dst").distinct(), after.select("src", "dst").distinct()
+    moved = a.join(b, ["src", "dst"], "left_anti").unionByName(b.join(a, ["src", "dst"], "left_anti")).select(F.col("src").alias("member")).distinct()
+    below = old.unionByName(new).join(moved, F.col("dst") == F.col("member"), "left_semi").select(F.col("src").alias("member"))
+    touched = moved.unionByName(below).distinct()
+    ids = transactions.select("id", F.explode("dimensions").alias("member")).join(touched, "member", "left_semi").select("id").distinct()
+    some = transactions.join(ids, "id", "left_semi")
+    sides = [spread(some, tree).select("dimension", "measure", (F.col("v") * sign).alias("v")) for tree, sign in ((old, -1), (new, 1))]
+    out = sides[0].unionByName(sides[1]).groupBy("dimension", "measure").agg(F.sum("v").alias("delta"))
     return out.filter(F.abs("delta") > 1e-9)
 
 
+def link_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, depth, src, dst): tuples that a change of hierarchy edges puts into the closure (``put``) or takes from it (``del``)."""
+    old, new = graph.closure(before), graph.closure(after)
+    keys = ["depth", "src", "dst"]
+    put, gone = new.join(old, keys, "left_anti"), old.join(new, keys, "left_anti")
+    return put.select(F.lit("put").alias("change"), *keys).unionByName(gone.select(F.lit("del").alias("change"), *keys))
+
+
+def changed_members(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """(id, change): members of a dimension that a change puts, deletes or alters (``put``, ``del``, ``same``)."""
+    kind = F.when(F.col("prev").isNull(), "put").when(F.col("now").isNull(), "del").otherwise("same")
+    return changes(before, after, key).select(F.coalesce(F.col(f"now.{key}"), F.col(f"prev.{key}")).alias("id"), kind.alias("change"))
+
+
 def drop_members(transactions: DataFrame, edges: DataFrame, gone: list[str]) -> tuple[DataFrame, DataFrame]:
     """Transactions and edges without some members."""
     left = transactions.withColumn("dimensions", F.array_except("dimensions", F.array(*map(F.lit, gone)).cast("array<string>")))

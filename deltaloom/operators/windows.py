@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deltaloom.operators.stateless import column, order
 
 
-def contexttime(df: DataFrame, ms: int, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id", aggregates: dict[str, Column] | None = None) -> DataFrame:
+def contexttime(df: DataFrame, ms: int, keys: Iterable[str], time: str = "time_us", tie: str = "event_id", aggregates: dict[str, Column] | None = None) -> DataFrame:
     """For each event the events before it, at most ``ms`` old, without itself: as array ``events``, or as the aggregates given.
 
     An aggregate is a column over the range; as it must leave out the event
@@ -25,7 +25,7 @@ def contexttime(df: DataFrame, ms: int, keys: Iterable[str] = (), time: str = "t
     return df.withColumn("events", before)
 
 
-def contexttime_sums(df: DataFrame, selector: str | Column, ms: int, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def contexttime_sums(df: DataFrame, selector: str | Column, ms: int, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Count and sum over what :func:`contexttime` gives: the range up to the event's time, less itself and later events of that time."""
     keys, v = list(keys), F.coalesce(column(selector), F.lit(0))
     w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-ms * 1000, 0)
@@ -33,20 +33,20 @@ def contexttime_sums(df: DataFrame, selector: str | Column, ms: int, keys: Itera
     return df.withColumns({"context_count": F.count(F.lit(1)).over(w) - F.count(F.lit(1)).over(same), "context_sum": F.sum(v).over(w) - F.sum(v).over(same)})
 
 
-def contextcount(df: DataFrame, n: int, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id", aggregates: dict[str, Column] | None = None) -> DataFrame:
+def contextcount(df: DataFrame, n: int, keys: Iterable[str], time: str = "time_us", tie: str = "event_id", aggregates: dict[str, Column] | None = None) -> DataFrame:
     """For each event the last ``n`` of its key, itself included: as array ``events``, or as the aggregates given."""
     w = order(keys, time, tie).rowsBetween(1 - n, 0)
     return df.withColumns({k: c.over(w) for k, c in (aggregates or {"events": F.collect_list(F.struct(*df.columns))}).items()})
 
 
-def grouptime(df: DataFrame, ms: int, keys: Iterable[str] = (), aggregates: dict[str, Column] | None = None, time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def grouptime(df: DataFrame, ms: int, keys: Iterable[str], aggregates: dict[str, Column] | None = None, time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Tumbling windows of ``ms`` on the epoch; anchored ones are in :mod:`deltaloom.operators.stateful`."""
     start = (F.floor(F.col(time) / (ms * 1000)) * (ms * 1000)).cast("long").alias("window_us")
     found = aggregates or {"events": F.array_sort(F.collect_list(F.struct(time, tie, *[c for c in df.columns if c not in (time, tie)])))}
     return df.groupBy(*keys, start).agg(*[c.alias(k) for k, c in found.items()])
 
 
-def groupcount(df: DataFrame, n: int, keys: Iterable[str] = (), aggregates: dict[str, Column] | None = None, time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def groupcount(df: DataFrame, n: int, keys: Iterable[str], aggregates: dict[str, Column] | None = None, time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Every ``n`` events of a key as one set, ``group_no`` from 0; an incomplete last set is not given out."""
     keys = list(keys)
     numbered = df.withColumn("group_no", F.floor((F.row_number().over(order(keys, time, tie)) - 1) / n).cast("long"))
@@ -55,25 +55,25 @@ def groupcount(df: DataFrame, n: int, keys: Iterable[str] = (), aggregates: dict
     return out.filter(F.col("__n") == n).drop("__n")
 
 
-def samplecount(df: DataFrame, n: int, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def samplecount(df: DataFrame, n: int, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Every n-th event of a key."""
     return df.withColumn("__at", F.row_number().over(order(keys, time, tie))).filter(F.col("__at") % n == 0).drop("__at")
 
 
-def settle(df: DataFrame, ms: int, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def settle(df: DataFrame, ms: int, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Events that no other follows for ``ms``; the last of a key is one."""
     nxt = F.lead(time).over(order(keys, time, tie))
     return df.withColumn("__next", nxt).filter(F.col("__next").isNull() | (F.col("__next") - F.col(time) >= ms * 1000)).drop("__next")
 
 
-def stable(df: DataFrame, ms: int, selector: str | Column, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def stable(df: DataFrame, ms: int, selector: str | Column, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Events at most ``ms`` after one of the same value: never the first of a run."""
     w, v = order(keys, time, tie), column(selector)
     calm = (F.col(time) - F.lag(time).over(w) <= ms * 1000) & v.eqNullSafe(F.lag(v).over(w))
     return df.withColumn("__calm", calm).filter("__calm").drop("__calm")
 
 
-def ddt(df: DataFrame, selector: str | Column, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def ddt(df: DataFrame, selector: str | Column, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """Change of the value a millisecond since the event before, as ``metric``; 0 for the first and where either does not change."""
     w, v = order(keys, time, tie), column(selector)
     dv, dt = v - F.lag(v).over(w), (F.col(time) - F.lag(time).over(w)) / 1000
@@ -89,7 +89,7 @@ def coalesce_latest(df: DataFrame, keys: Iterable[str], now_us: Column | int, tt
     return last.withColumn(state or "state", F.when(over, F.lit("expired")).otherwise(F.col(state) if state else F.lit(None).cast("string")))
 
 
-def project(df: DataFrame, predicates: list[str | Column], ttl_ms: str | Column, keys: Iterable[str] = (), time: str = "time_us", tie: str = "event_id") -> DataFrame:
+def project(df: DataFrame, predicates: list[str | Column], ttl_ms: str | Column, keys: Iterable[str], time: str = "time_us", tie: str = "event_id") -> DataFrame:
     """For each event, in columns ``slot0``, ``slot1``, ..., the latest event that met each predicate.
 
     After an event is given out, slots are cleared that have no time to live
@@ -112,7 +112,7 @@ def project(df: DataFrame, predicates: list[str | Column], ttl_ms: str | Column,
     return out.withColumns(slots).drop("__before", "__ttl", *[f"__s{k}" for k in range(len(predicates))])
 
 
-def fillin(df: DataFrame, ms: int, keys: Iterable[str] = (), ttl_ms: str | Column = "60000", time: str = "time_us", tie: str = "event_id", generate: dict[str, Column] | None = None) -> DataFrame:
+def fillin(df: DataFrame, ms: int, keys: Iterable[str], ttl_ms: str | Column = "60000", time: str = "time_us", tie: str = "event_id", generate: dict[str, Column] | None = None) -> DataFrame:
     """All events, and copies every ``ms`` of idle time until the next event or the end of the time to live, with ``filled`` true.
 
     ``generate`` sets columns of copies; their time is that of the copy.

@@ -146,6 +146,23 @@ def cube_batch(spark, d):
     return cube.batch(put=cube.df.filter("o_orderkey % 20 = 3"), del_=gone).length()
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+def cube_row(spark, d):
+    return _orders(spark, d).row(7).select("o_orderkey", "o_custkey")
+
+
+@query(f"{_PARTS} SELECT o_orderkey, p AS dimension_key FROM (SELECT o_orderkey, unnest(parts) AS p FROM o) WHERE p BETWEEN 100 AND 200 ORDER BY p DESC, o_orderkey LIMIT 30")
+def cube_range_multiple_last(spark, d):
+    """The last 30 of a multiple dimension, rows without keys hidden."""
+    return Model([_facets(spark, d)]).ordered({"orders": {"parts": Range(100, 200, nulls=False)}}, "orders", "parts", -30).select("o_orderkey", "dimension_key")
+
+
+@query(f"WITH f AS (SELECT o_orderpriority AS k, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_orderkey, o_orderpriority AS dimension_key FROM orders JOIN f ON k = o_orderpriority WHERE {DATES} ORDER BY first, o_orderkey LIMIT 60")
+def cube_set_order(spark, d):
+    """Orders of a year, priorities in the order in which they first came."""
+    return _orders(spark, d).in_set_order("priority", {"date": Range(LO, HI)}, 60).select("o_orderkey", "dimension_key")
+
+
 @query("SELECT p_partkey FROM part WHERE len(list_filter(regexp_split_to_array(p_name, '[\\s\\-]+'), lambda t: t BETWEEN 'a' AND 'f')) > 0 OR p_name IS NULL")
 def cube_text_search(spark, d):
     cube = Cube("part", load(spark, d, "part"), "p_partkey").range_multiple_text("name", "p_name")
@@ -166,10 +183,10 @@ def text_tokens(spark, d):
 
 def _market(spark, d):
     """customer <- orders -> part: two links."""
-    orders = Cube("orders", _parts_of_orders(spark, d), "o_orderkey").range_single("date", "o_orderdate").range_single("price", "o_totalprice")
+    orders = Cube("orders", load(spark, d, "orders"), "o_orderkey").range_single("date", "o_orderdate").range_single("price", "o_totalprice")
     customers = Cube("customer", load(spark, d, "customer"), "c_custkey").set_single("segment", "c_mktsegment").range_single("nation", "c_nationkey")
     parts = Cube("part", load(spark, d, "part"), "p_partkey").set_single("brand", "p_brand").range_single("size", "p_size")
-    return Model([customers, orders, parts]).link("orders", "customer", "o_custkey").link("orders", "part", "parts")
+    return Model([customers, orders, parts]).link("orders", "customer", "o_custkey").link_pairs("orders", "part", load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 _EDGES = "WITH op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"
@@ -297,3 +314,10 @@ def flagship(spark, d):
     chain = [(suppliers.select("s_suppkey"), "l_suppkey", "s_suppkey"), (orders.select("o_orderkey", "o_custkey"), "l_orderkey", "o_orderkey"), (load(spark, d, "customer").select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey"), (load(spark, d, "nation").select("n_nationkey", "n_name"), "c_nationkey", "n_nationkey")]
     rows = functools.reduce(lambda df, x: df.join(x[0], F.col(x[1]) == F.col(x[2])), chain, items)
     return agg.group_sums(rows, ["n_name"], "amount", name="spend").withColumn("spend", F.round("spend", 2))
+
+
+@query("SELECT p_partkey FROM part WHERE len(list_filter(regexp_split_to_array(p_name, '[\\s\\-]+'), lambda t: regexp_replace(t, '(ed|s)$', '') BETWEEN 'a' AND 'f')) > 0 OR p_name IS NULL")
+def cube_text_stems(spark, d):
+    """Tokens and bounds of a search without their endings."""
+    cube = Cube("part", load(spark, d, "part"), "p_partkey").range_multiple_text("name", "p_name", lambda w: w.removesuffix("ed").removesuffix("s"), lambda c: F.regexp_replace(c, "(ed|s)$", ""))
+    return cube.filtered({"name": cube.search("name", "as", "fed")}).select("p_partkey")

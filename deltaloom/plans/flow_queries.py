@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.times import days, hours
@@ -229,27 +232,79 @@ def flow_throttle(spark, d):
     return stateful.throttle(events(spark, d), 3, days(2), USER).select("event_id")
 
 
-@query()
+_LAST = "(user_id, n) IN (SELECT (user_id, max(n)) FROM s GROUP BY user_id)"
+_NUMBERED = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY n, k) - 1 AS group_no, us AS fired_us, size AS n FROM o"
+
+
+@query(
+    f"""{_REC}, r AS (
+      SELECT user_id, n, [time_us] AS recent, CAST(NULL AS BIGINT) AS due, CAST(0 AS BIGINT) AS rest, time_us AS one_us, CAST(NULL AS BIGINT) AS rest_us, CAST(0 AS BIGINT) AS rest_n FROM s WHERE n = 1 UNION ALL
+      SELECT user_id, n, recent, CASE WHEN waits THEN due WHEN len(recent) > 2 THEN recent[1] + {_T} END, CASE WHEN waits THEN rest + 1 WHEN len(recent) > 2 THEN 1 ELSE 0 END, CASE WHEN NOT waits AND len(recent) <= 2 THEN t END, rest_us, rest_n
+      FROM (SELECT user_id, n, t, due, rest, waits, rest_us, rest_n, CASE WHEN waits THEN base ELSE list_filter(list_append(base, t), lambda x: t - x < {_T}) END AS recent
+            FROM (SELECT s.user_id, s.n, s.time_us AS t, r.due, r.rest, coalesce(r.due > s.time_us, false) AS waits, CASE WHEN r.due <= s.time_us THEN [] ELSE r.recent END AS base,
+                         CASE WHEN r.due <= s.time_us THEN r.due END AS rest_us, r.rest AS rest_n
+                  FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))),
+    o AS (SELECT user_id, n, 0 AS k, rest_us AS us, rest_n AS size FROM r WHERE rest_us IS NOT NULL UNION ALL SELECT user_id, n, 1, one_us, 1 FROM r WHERE one_us IS NOT NULL UNION ALL SELECT user_id, n, 2, due, rest FROM r WHERE due IS NOT NULL AND {_LAST})
+    {_NUMBERED}"""
+)
 def flow_rollup(spark, d):
     out = stateful.rollup(events(spark, d), 2, days(2), USER)
-    return out.select("user_id", "group_no", "fired_us", F.size("events").alias("n"))
+    return out.select("user_id", "group_no", "fired_us", F.size("events").cast("long").alias("n"))
+
+
+_H = "43200000000"
 
 
-@query()
+@query(
+    f"""{_REC}, r AS (
+      SELECT user_id, n, event_id AS own, time_us AS own_us, CAST(NULL AS BIGINT) AS old, CAST(NULL AS BIGINT) AS old_us, time_us AS last, CAST(NULL AS BIGINT) AS held FROM s WHERE n = 1 UNION ALL
+      SELECT user_id, n, CASE WHEN t - l > {_H} THEN event_id END, t, old, old_us, CASE WHEN t - l > {_H} THEN t ELSE l END, CASE WHEN t - l <= {_H} THEN event_id END
+      FROM (SELECT s.user_id, s.n, s.event_id, s.time_us AS t, CASE WHEN r.held IS NOT NULL AND r.last + {_H} <= s.time_us THEN r.last + {_H} ELSE r.last END AS l,
+                   CASE WHEN r.last + {_H} <= s.time_us THEN r.held END AS old, r.last + {_H} AS old_us
+            FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))
+    SELECT own AS event_id, user_id, own_us AS fired_us FROM r WHERE own IS NOT NULL UNION ALL SELECT old, user_id, old_us FROM r WHERE old IS NOT NULL UNION ALL SELECT held, user_id, last + {_H} FROM r WHERE held IS NOT NULL AND {_LAST}"""
+)
 def flow_debounce(spark, d):
     return stateful.debounce(events(spark, d), hours(12), USER).select("event_id", "user_id", "fired_us")
 
 
-@query()
+def _batches(us: str, most: str) -> str:
+    """SQL of lists of so many events or so many µs since their timer started."""
+    return f"""{_REC}, r AS (
+      SELECT user_id, n, CAST(NULL AS BIGINT) AS a_us, CAST(0 AS BIGINT) AS a_n, CAST(NULL AS BIGINT) AS b_us, CAST(1 AS BIGINT) AS c, time_us + {us} AS due FROM s WHERE n = 1 UNION ALL
+      SELECT user_id, n, a_us, a_n, CASE WHEN c = {most} THEN t END, CASE WHEN c = {most} THEN 0 ELSE c END, CASE WHEN c = {most} THEN t + {us} ELSE due END
+      FROM (SELECT user_id, n, t, a_us, a_n, CASE WHEN d IS NULL THEN 1 ELSE c0 + 1 END AS c, coalesce(d, t + {us}) AS due
+            FROM (SELECT s.user_id, s.n, s.time_us AS t, CASE WHEN r.due <= s.time_us AND r.c > 0 THEN r.due END AS a_us, r.c AS a_n, CASE WHEN r.due <= s.time_us THEN 0 ELSE r.c END AS c0,
+                         CASE WHEN r.due > s.time_us THEN r.due WHEN r.c > 0 AND r.due + {us} > s.time_us THEN r.due + {us} END AS d
+                  FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))),
+    o AS (SELECT user_id, n, 0 AS k, a_us AS us, a_n AS size FROM r WHERE a_us IS NOT NULL UNION ALL SELECT user_id, n, 1, b_us, {most} FROM r WHERE b_us IS NOT NULL UNION ALL SELECT user_id, n, 2, due, c FROM r WHERE c > 0 AND {_LAST})
+    {_NUMBERED}"""
+
+
+@query(_batches("86400000000", "4"))
 def flow_batch(spark, d):
     out = stateful.batch(events(spark, d), 4, days(1), USER)
-    return out.select("user_id", "group_no", "fired_us", F.size("events").alias("n"))
+    return out.select("user_id", "group_no", "fired_us", F.size("events").cast("long").alias("n"))
 
 
-@query()
+@query(_batches("64800000000", "-1"))
 def flow_grouptime_anchored(spark, d):
     out = stateful.grouptime_anchored(events(spark, d), hours(18), USER)
-    return out.select("user_id", "group_no", "fired_us", F.size("events").alias("n"))
+    return out.select("user_id", "group_no", "fired_us", F.size("events").cast("long").alias("n"))
+
+
+@query(f"{E} SELECT a.event_id, coalesce(string_agg(CAST(b.event_id AS VARCHAR), ',' ORDER BY b.time_us, b.event_id), '') AS before FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.time_us >= a.time_us - 86400000000 AND (b.time_us, b.event_id) < (a.time_us, a.event_id) GROUP BY a.event_id")
+def flow_contexttime_events(spark, d):
+    rows = windows.contexttime(events(spark, d), days(1), USER)
+    ids = F.transform(F.array_sort(F.transform("events", lambda x: F.struct(x["time_us"], x["event_id"]))), lambda x: x["event_id"].cast("string"))
+    return rows.select("event_id", F.array_join(ids, ",").alias("before"))
+
+
+@query(f"{E}, m AS (SELECT event_type AS key, count(*) AS value FROM e GROUP BY 1) SELECT key, value, 'value desc' AS ordering FROM (FROM m ORDER BY value DESC, key LIMIT 2) UNION ALL SELECT key, value, 'value asc' FROM (FROM m ORDER BY value, key LIMIT 2) UNION ALL SELECT key, value, 'key desc' FROM (FROM m ORDER BY key DESC LIMIT 2) UNION ALL SELECT key, value, 'key asc' FROM (FROM m ORDER BY key LIMIT 2)")
+def comparators(spark, d):
+    m = agg.group_sums(events(spark, d).withColumnRenamed("event_type", "key"), ["key"], F.lit(1))
+    parts = {"value desc": agg.byvaluedesc, "value asc": agg.byvalueasc, "key desc": agg.bykeydesc, "key asc": agg.bykeyasc}
+    return functools.reduce(DataFrame.unionByName, [by(m).limit(2).withColumn("ordering", F.lit(name)) for name, by in parts.items()])
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -326,4 +381,44 @@ def pathie_build(spark, d):
     return tree.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("tree")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("tree"))
 
 
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN n END) AS clicks, count(*) AS kinds, max(event_type = 'view') AS views, sum(n) FILTER (event_type <> 'click') AS rest FROM c GROUP BY user_id) SELECT user_id, clicks, coalesce(clicks, 0) AS clicks_or, coalesce(views, false) AS has_view, kinds, coalesce(clicks, 0) + 1 AS assigned, coalesce(rest, 0) AS removed FROM u")
+def pathie_access(spark, d):
+    from deltaloom.functions import paths
+
+    rows = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    tree = paths.build(rows.withColumn("top", F.lit("t")), ["top", "event_type"], "n", "tree", ["user_id"])
+    t, total = F.col("tree"), lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    more = paths.assign(t, ["t", "click"], lambda old: F.coalesce(old, F.lit(0).cast("long")) + 1)
+    return tree.select(
+        "user_id", paths.get(t, "t", "click").alias("clicks"), paths.get_or(t, ["t", "click"], F.lit(0).cast("long")).alias("clicks_or"), paths.has(t, "t", "view").alias("has_view"),
+        F.size(paths.keys(t, "t")).cast("long").alias("kinds"), paths.get(more, "t", "click").alias("assigned"), total(paths.get(paths.remove(t, "t", "click"), "t")).alias("removed"),
+    )
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM c WHERE n > 12 GROUP BY user_id")
+def pathie_clean(spark, d):
+    """Maps of maps, of which the inner ones without an entry over 12 are empty and go."""
+    from deltaloom.functions import paths
+
+    rows = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    tree = paths.build(rows.withColumn("leaf", F.lit("n")), ["event_type", "leaf"], "n", "tree", ["user_id"])
+    some = F.transform_values("tree", lambda k, v: F.map_filter(v, lambda _, n: n > 12))
+    out = tree.select("user_id", paths.clean(some, 2).alias("tree")).filter(F.size("tree") > 0)
+    return out.select("user_id", F.array_join(F.array_sort(F.map_keys("tree")), ",").alias("kinds"))
+
+
+@query("SELECT c_custkey, c_name, round(c_acctbal * 100) AS c_acctbal FROM customer")
+def source_csv(spark, d):
+    """Customers as lines of CSV, read back with a cast and with cents."""
+    from deltaloom.sources import lines
+
+    rows = load(spark, d, "customer").select(F.to_csv(F.struct(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))).alias("value"))
+    return lines.parse_csv(rows, ["c_custkey", "c_name", "c_acctbal"], {"c_custkey": "long"}, ["c_acctbal"])
+
+
+@query(f"{E} SELECT event_id FROM e WHERE time_us < 1704931200000000 AND event_id % 3 <> 0 UNION ALL SELECT event_id FROM e WHERE time_us < 1704931200000000 AND event_id % 6 = 0")
+def timeseries_batch(spark, d):
+    from deltaloom.sources.store import Series
 
+    rows = events(spark, d).filter("time_us < 1704931200000000")
+    return Series(rows, "time_us", "event_id").delete(rows.filter("event_id % 3 = 0")).put(rows.filter("event_id % 6 = 0")).df.select("event_id")

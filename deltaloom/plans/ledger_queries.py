@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltaloom.operators import graph, ledger
+from deltaloom.operators.operations import Operation, Operations
 from deltaloom.plans.registry import query
 from deltaloom.session import load
+from deltaloom.sources.store import Store
 
 
 def _edges(spark, d):
@@ -131,7 +133,77 @@ def ledger_change_transactions(spark, d):
 )
 def ledger_change_dimensions(spark, d):
     edges = _edges(spark, d)
-    n = F.substring("src", 2, 9).cast("long")
-    moved = F.when(F.col("src").startswith("n") & (n % 5 == 0), F.concat(F.lit("r"), (F.substring("dst", 2, 9).cast("long") + 1) % 5)).otherwise(F.col("dst"))
-    out = ledger.change_dimensions(_transactions(spark, d), edges, edges.select("src", moved.alias("dst")))
+    out = ledger.change_dimensions(_transactions(spark, d), edges, _moved(edges))
     return out.filter("measure = 'spend'").select("dimension", F.round("delta", 2).alias("delta"))
+
+
+_CHANGED = _TX + """, w AS (SELECT id, d, CASE WHEN d LIKE 'p%' AND id % 7 = 0 THEN 'p9' ELSE d END AS d2, v, CASE WHEN id % 3 = 0 THEN v + 10 ELSE v END AS v2 FROM x WHERE id % 3 = 0 OR id % 7 = 0 OR id % 11 = 0),
+y AS (SELECT d, -v AS s, -1 AS n FROM w UNION ALL SELECT d2, v2, 1 FROM w WHERE id % 11 <> 0)"""
+
+
+@query(f"{_CHANGED} SELECT d AS dimension, round(sum(s), 2) AS spend, CAST(sum(n) AS DOUBLE) AS n FROM y GROUP BY d")
+def ledger_change_rolled(spark, d):
+    """What the changes make of all members, ancestors included."""
+    out = ledger.change_transactions(_change(spark, d), graph.closure(_edges(spark, d)))
+    return out.groupBy("dimension").agg(F.round(F.sum(F.when(F.col("measure") == "spend", F.col("delta"))), 2).alias("spend"), F.round(F.sum(F.when(F.col("measure") == "n", F.col("delta"))), 2).alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 3 = 0 AS dearer, o_orderkey % 7 = 0 AS moved, o_orderkey % 11 = 0 AS gone, round(o_totalprice, 2) AS v, 'c' || o_custkey AS c, 'p' || substr(o_orderpriority, 1, 1) AS p FROM orders)
+    SELECT id, c AS dimension, 10.0 AS spend FROM t WHERE dearer AND NOT gone UNION ALL SELECT id, p, 10.0 FROM t WHERE dearer AND NOT gone AND NOT moved
+    UNION ALL SELECT id, 'p9', round(v + CASE WHEN dearer THEN 10 ELSE 0 END, 2) FROM t WHERE moved AND NOT gone UNION ALL SELECT id, p, -v FROM t WHERE moved AND NOT gone
+    UNION ALL SELECT id, c, -v FROM t WHERE gone UNION ALL SELECT id, p, -v FROM t WHERE gone"""
+)
+def ledger_diff_transaction(spark, d):
+    return ledger.diff_rows(_change(spark, d)).filter("measure = 'spend'").select("id", "dimension", F.round("delta", 2).alias("spend"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'del' ELSE 'same' END AS change FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+def ledger_changed_members(spark, d):
+    now = load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice")
+    i = F.col("id").cast("long")
+    after = now.filter(i % 11 != 0).select("id", F.when((i % 3 == 0) | (i % 7 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return ledger.changed_members(now, after)
+
+
+def _moved(edges):
+    n = F.substring("src", 2, 9).cast("long")
+    return edges.select("src", F.when(F.col("src").startswith("n") & (n % 5 == 0), F.concat(F.lit("r"), (F.substring("dst", 2, 9).cast("long") + 1) % 5)).otherwise(F.col("dst")).alias("dst"))
+
+
+@query(
+    """WITH m AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS a, 'r' || ((n_regionkey + 1) % 5) AS b FROM nation WHERE n_nationkey % 5 = 0),
+    c AS (SELECT 'c' || c_custkey AS c, 'n' || c_nationkey AS n FROM customer)
+    SELECT 'del' AS change, 0 AS depth, n AS src, a AS dst FROM m UNION ALL SELECT 'put', 0, n, b FROM m UNION ALL SELECT 'del', 1, c, a FROM c JOIN m USING (n) UNION ALL SELECT 'put', 1, c, b FROM c JOIN m USING (n)"""
+)
+def ledger_link_deltas(spark, d):
+    edges = _edges(spark, d)
+    return ledger.link_deltas(edges, _moved(edges))
+
+
+@query(f"{_G} SELECT coalesce(max(src = 'c1' AND dst = 'r4'), false) AS found FROM g")
+def graph_hasdescendant(spark, d):
+    return graph.has_descendant(graph.closure(_edges(spark, d)), "r4", "c1")
+
+
+@query("SELECT 0 AS depth, 'n' || n_nationkey AS node, 1 AS times FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 1, 'c' || c_custkey, 1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
+def graph_descendant_walks(spark, d):
+    return graph.descendant_walks(_edges(spark, d), "r2").withColumn("times", F.col("times").cast("int"))
+
+
+@query("SELECT 'c' || c_custkey AS node FROM customer WHERE c_nationkey = 7 AND c_custkey % 2 = 1")
+def graph_store_children(spark, d):
+    """Edges in a key-value store, some deleted, read back by their parent."""
+    edges = _edges(spark, d)
+    return graph.GraphStore.of(edges).delete(edges.filter("src like 'c%' and cast(substring(src, 2) as long) % 2 = 0")).children("n7")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS value FROM orders WHERE o_orderkey % 4 <> 0")
+def operations_commit(spark, d):
+    """Puts and deletes recorded for a store and committed together."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_custkey").cast("string").alias("value"))
+    ops = Operations({"orders": Store(rows, "")})
+    i = F.col("key").cast("long")
+    ops.record(Operation("orders", put=rows.filter((i % 3 == 0) & (i % 4 != 0)).withColumn("value", F.lit("x"))))
+    ops.record(Operation("orders", delete=rows.filter(i % 4 == 0).select("key")))
+    return ops.commit()["orders"].scan()

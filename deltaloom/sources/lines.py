@@ -25,9 +25,7 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def read_csv(spark: SparkSession, path: str, casts: dict[str, str] | None = None, cents: list[str] = ()) -> DataFrame:
-    """A CSV file with a header. Columns are text, also ``NULL``, but for ``casts``; those in ``cents`` become numbers times 100."""
-    rows = spark.read.csv(path, header=True)
+def _typed(rows: DataFrame, casts: dict[str, str] | None, cents: list[str]) -> DataFrame:
     for name, kind in (casts or {}).items():
         rows = rows.withColumn(name, F.col(f"`{name}`").cast(kind))
     for name in cents:
@@ -35,6 +33,18 @@ def read_csv(spark: SparkSession, path: str, casts: dict[str, str] | None = None
     return rows
 
 
+def parse_csv(lines: DataFrame, names: list[str], casts: dict[str, str] | None = None, cents: list[str] = (), value: str = "value") -> DataFrame:
+    """Lines of CSV without a header, such as a stream's, with the types that :func:`read_csv` gives."""
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = lines.select(F.from_csv(F.col(value), fields.simpleString()[7:-1].replace(":", " ")).alias("r")).select("r.*")
+    return _typed(rows, casts, cents)
+
+
+def read_csv(spark: SparkSession, path: str, casts: dict[str, str] | None = None, cents: list[str] = ()) -> DataFrame:
+    """A CSV file with a header. Columns are text, also ``NULL``, but for ``casts``; those in ``cents`` become numbers times 100."""
+    return _typed(spark.read.csv(path, header=True), casts, cents)
+
+
 def counter(spark: SparkSession, end: int, start: int = 0, incr: int = 1) -> DataFrame:
     """``value`` from start to end, end included; the streaming form is the ``rate`` source."""
     return spark.range(start, end + 1, incr).withColumnRenamed("id", "value")

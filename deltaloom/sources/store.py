@@ -35,6 +35,14 @@ class Store:
         out = out.orderBy(F.desc("key") if reverse else F.asc("key"))
         return out if limit is None else out.limit(limit)
 
+    def readall(self) -> list[tuple[str, str]]:
+        """All (key, value) pairs in order of key, in the driver: only for stores that fit there, such as dimensions' names."""
+        return [(r.key, r.value) for r in self.scan().collect()]
+
+    def write(self, path: str) -> None:
+        """Write the whole table, other prefixes included, to a new place."""
+        self.df.write.parquet(path)
+
     def keys(self, **bounds: Any) -> DataFrame:
         return self.scan(**bounds).select("key")
 
@@ -66,3 +74,40 @@ def series(df: DataFrame, gt: int | None = None, lt: int | None = None, ts: str
         out = out.filter(F.col(ts) <= lt)
     out = out.orderBy(F.desc(ts), F.desc(ident)) if reverse else out.orderBy(ts, ident)
     return out if limit is None else out.limit(limit)
+
+
+class Series:
+    """Rows with a time and an id, held once for each id. A change gives a new series."""
+
+    def __init__(self, df: DataFrame, ts: str = "ts", ident: str = "id") -> None:
+        self.df, self.ts, self.ident = df, ts, ident
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, ts: str = "ts", ident: str = "id") -> Series:
+        return cls(spark.read.parquet(path), ts, ident)
+
+    def read(self, gt: int | None = None, lt: int | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
+        return series(self.df, gt, lt, self.ts, self.ident, reverse, limit)
+
+    def get(self, ident: Any) -> DataFrame:
+        return self.df.filter(F.col(self.ident) == ident)
+
+    def batch(self, put: DataFrame | None = None, del_: DataFrame | None = None) -> Series:
+        """Delete rows by id, then put rows; one put under an id that is there replaces it, of several the latest stays."""
+        out = self.df
+        for x in (del_, put):
+            if x is not None:
+                out = out.join(x.select(self.ident).distinct(), self.ident, "left_anti")
+        if put is not None:
+            last = put.groupBy(self.ident).agg(F.max_by(F.struct(*put.columns), F.struct(self.ts)).alias("r")).select("r.*")
+            out = out.select(*self.df.columns).unionByName(last.select(*self.df.columns))
+        return Series(out, self.ts, self.ident)
+
+    def put(self, rows: DataFrame) -> Series:
+        return self.batch(put=rows)
+
+    def delete(self, rows: DataFrame) -> Series:
+        return self.batch(del_=rows)
+
+    def write(self, path: str) -> None:
+        self.df.write.parquet(path)

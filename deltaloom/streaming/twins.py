@@ -24,13 +24,19 @@ _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 def run_machine(df: DataFrame, make: Callable[[], Machine], keys: Iterable[str], schema: str, row: Callable[[tuple, int, object], dict], time: str = "ts", tie: str = "event_id", delay: str = "0 seconds") -> DataFrame:
     """Run a machine for each key of a stream; timers fire when the watermark passes them.
 
-    ``row(key, time in µs, output)`` makes a row of each output. Events of
-    one micro-batch are taken in order of time; the machine is kept pickled.
+    ``row(key, time in µs, output)`` makes a row of each output. A machine's
+    state is kept pickled, its settings (selectors, functions) are not.
+
+    Events of one micro-batch are taken in order of time. One that comes in a
+    later micro-batch than events after it, but within the watermark, is taken
+    when it comes: machines see it as the next event, with its own time. With a
+    trigger that reads what a source has in order this does not happen; batch
+    runs sort all events.
     """
     wanted = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine: Machine = pickle.loads(state.get[0]) if state.exists else make()
+        machine = make().resume(pickle.loads(state.get[0])) if state.exists else make()
         out: list[dict] = []
 
         def emit(found) -> None:
@@ -49,7 +55,7 @@ def run_machine(df: DataFrame, make: Callable[[], Machine], keys: Iterable[str],
                 t = t // timedelta(microseconds=1)
                 upto(t)
                 emit(machine.push(t, e))
-        state.update((pickle.dumps(machine),))
+        state.update((pickle.dumps(machine.state()),))
         if machine.due is not None:
             state.setTimeoutTimestamp(max(-(-machine.due // 1000), state.getCurrentWatermarkMs() + 1))
         if out:

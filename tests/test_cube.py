@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators.cube import Cube, Keys, Model, Range, all_keys, no_keys
 
-DATA1 = [("I4", 100, "Michael Smith", ["I1", "I2"]), ("I3", 200, "Bruce McSweeny", []), ("I2", 800, "Mandy Smith", []), ("I1", 800, "Derrick Smith", [])]
-DATA2 = [("I6", 200, "Sally McSweeny", []), ("I5", 300, "Tiger Woods", []), ("I8", 900, "Tania McSweeny", ["I4", "I3", "I6"]), ("I7", 900, "Pony Horse", ["I5"]), ("I9", 900, "Matt McSweeny", ["I4", "I3", "I6"])]
+#: Ties in time, parents whose children come with the batch before, and rows without children.
+DATA1 = [("k4", 5, "Ada", ["k1", "k2"]), ("k3", 10, "Ben", []), ("k2", 40, "Cleo", []), ("k1", 40, "Dov", [])]
+DATA2 = [("k6", 10, "Eve", []), ("k5", 15, "Fay", []), ("k8", 45, "Gil", ["k4", "k3", "k6"]), ("k7", 45, "Hal", ["k5"]), ("k9", 45, "Ida", ["k4", "k3", "k6"])]
 PEOPLE = "id string, ts long, name string, children array<string>"
 
 
@@ -21,11 +22,11 @@ def ordered(cube, dimension, n=None, sel=None):
 
 def test_ordered_reads_after_put_and_del(spark):
     one, two = people(spark, DATA1), spark.createDataFrame(DATA2, PEOPLE)
-    assert ordered(one, "ts") == [100, 200, 800, 800]
-    assert ordered(one.batch(put=two), "ts") == [100, 200, 200, 300, 800, 800, 900, 900, 900]
-    assert ordered(one.batch(put=two, del_=one.df), "ts") == [200, 300, 900, 900, 900]
-    assert ordered(one, "children") == ["I1", "I2", None, None, None]
-    assert ordered(one, "children", -4) == [None, None, None, "I2"]
+    assert ordered(one, "ts") == [5, 10, 40, 40]
+    assert ordered(one.batch(put=two), "ts") == [5, 10, 10, 15, 40, 40, 45, 45, 45]
+    assert ordered(one.batch(put=two, del_=one.df), "ts") == [10, 15, 45, 45, 45]
+    assert ordered(one, "children") == ["k1", "k2", None, None, None]
+    assert ordered(one, "children", -4) == [None, None, None, "k2"]
     with pytest.raises(ValueError):
         one.batch(put=one.df)
 
@@ -111,3 +112,34 @@ def test_or_group_and_projection_delta(spark):
     put, gone = m.delta({"orders": {"id": Range("1")}}, {"orders": {"id": Range("4")}}, ["orders", "products", "suppliers"])
     assert [tuple(r) for r in put.collect()] == [("4", "Eggplant", "Vege Bin")]
     assert [tuple(r) for r in gone.collect()] == [("1", "Drink", "Bottle-O")]
+
+
+def test_the_filter_in_force(spark):
+    cube = people(spark, DATA1)
+    assert cube.filter_of({"ts": Range(5, 10)}, "ts") == (5, 10) and cube.filter_of({"ts": Range(5)}, "ts") == (5, 5) and cube.filter_of({"ts": Range(nothing=True)}, "ts") is None
+    assert cube.filter_of({}, "ts") is None and cube.filter_of({"name": Keys().change(del_=["Ada"])}, "name") == (None, frozenset({"Ada"}))
+    with pytest.raises(KeyError):
+        cube.filter_of({}, "nothing")
+
+
+def test_sets_read_in_order_of_arrival(spark):
+    rows = [(1, "b"), (2, "a"), (3, None), (4, "b"), (5, "c")]
+    cube = Cube("c", spark.createDataFrame(rows, "id int, k string"), "id").set_single("k", "k")
+    read = lambda **x: [(r.dimension_key, r.id) for r in cube.in_set_order("k", **x).collect()]
+    assert read() == [("b", 1), ("b", 4), ("a", 2), ("c", 5), (None, 3)]
+    assert read(n=3) == [("b", 1), ("b", 4), ("a", 2)] and read(n=-2) == [] and read(n=0) == []
+    assert read(selection={"k": Keys(frozenset({"b", "c"}), nulls=False)}) == [("b", 1), ("b", 4), ("c", 5)]
+    many = Cube("c", spark.createDataFrame([(1, ["x", "y"]), (2, ["y", "z"]), (3, [])], "id int, k array<string>"), "id").set_multiple("k", "k")
+    assert [(r.dimension_key, r.id) for r in many.in_set_order("k").collect()] == [("x", 1), ("y", 1), ("y", 2), ("z", 2), (None, 3)]
+
+
+def test_links_by_a_table_of_pairs(spark):
+    a = Cube("a", spark.createDataFrame([(1,), (2,), (3,)], "id int"), "id").range_single("id", "id")
+    b = Cube("b", spark.createDataFrame([("x",), ("y",)], "id string"), "id").range_single("id", "id")
+    pairs = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (9, "y"), (2, "gone"), (None, "x")], "f int, t string")
+    m = Model([a, b]).link_pairs("a", "b", pairs, "f", "t")
+    assert seen(m, {"b": {"id": Range("x")}}) == {"a": {1, 2, 3}, "b": {"x"}}  # 2 has an edge to a key that is in no table
+    assert seen(m, {"a": {"id": Range(1)}}) == {"a": {1}, "b": {"x"}}
+    assert {tuple(r) for r in m.project({}, ["a", "b"]).collect()} == {(1, "x"), (2, "y")}
+    strict = Model([a, b]).link_pairs("a", "b", pairs, "f", "t", nulls=False)
+    assert seen(strict, {})["a"] == {1, 2}

@@ -73,13 +73,49 @@ def test_lake_expires_once():
     assert [t for t, _ in seen] == [10, 20, 30] and seen[-1][1] == [{"k": "a", "state": "expired"}]
 
 
+def test_events_own_times_to_live(df):
+    lake = m.Coalesce("k", 10, 1_000_000)
+    lake.push(0, {"k": "a", "ttl": 0.015})
+    lake.push(0, {"k": "b", "ttl": None})
+    assert set(lake.all()) == {"a", "b"}
+    out = lake.fire(10) + lake.fire(20)
+    assert [[e.get("state") for e in x] for _, x in out] == [[None, None], ["expired", None]] and set(lake.all()) == {"b"}
+    slots = m.Project(["x", ("k", 2)], None)
+    seen = [slots.push(t, e)[0][1] for t, e in ((0, {"x": True, "k": 1, "ttl": 0.005}), (4, {"x": False, "k": 2}), (5, {"x": None, "k": 3}), (6, {"x": False, "k": 3}), (7, {"x": False, "k": 4}))]
+    assert [[s and s["k"] for s in x] for x in seen] == [[1, None], [1, 2], [1, None], [1, None], [None, None]]
+    fill = m.Fillin(10, 1_000_000, lambda e: {"again": e["k"]})
+    fill.push(0, {"k": 1, "ttl": 0.025})
+    assert [fill.fire(d) for d in (10, 20, 30)] == [[(10, {"again": 1, "filled": True})], [(20, {"again": 1, "filled": True})], []]
+
+
+def test_coalesce_in_a_batch(df):
+    rows = stateful.coalesce(df, "value", 2000, ["user_id"], 3000).collect()
+    assert rows and all(len({e.value for e in r.events}) == len(r.events) for r in rows)
+    last = {}
+    for r in sorted(rows, key=lambda r: (r.user_id, r.group_no)):
+        for e in r.events:
+            assert (e.state == "expired") == (e.time_us + 3_000_000 < r.fired_us)
+        last[r.user_id] = r
+    assert all(e.state == "expired" for r in last.values() for e in r.events)
+
+
 def test_hub():
-    hub, heard = Hub(), []
+    hub, heard = Hub({"first": lambda: "1"}), []
     stop = hub.on("x", heard.append)
     hub.unhandled(lambda name, *a: heard.append((name, a)))
-    child = hub.child()
-    child.emit("x", 1)
+    child = hub.child({"own": lambda: "mine"})
+    child.emit("x", 1)  # not handled by the child
     child.emit("y", 2)
+    assert child.emit("own") == ["mine"] and hub.emit("first") == ["1"]
+    child.on("x", lambda v: None)
+    child.emit("x", 5)  # handled by the child: the parent does not hear of it
     stop()
-    hub.emit("x", 3)
-    assert heard == [1, ("y", (2,)), ("x", (3,))]
+    hub.emit("x", 3)  # a name that had a listener is not unhandled
+    assert heard == [1, ("y", (2,))]
+    last = []
+    start = hub.effect(lambda h: (h.on("z", heard.append), lambda: last.append(1))[1])
+    end = start()
+    hub.emit("z", 9)
+    end()
+    hub.emit("z", 10)
+    assert heard[-1] == 9 and last == [1]
