@@ -161,6 +161,17 @@ def test_simhash_nulls_short_texts_and_repeats(spark):
     assert got == [(2, 2), (3, 2), (5, 2), (7, 7), (8, 8), (8, 8), (9, 7)]
 
 
+def test_simhash_null_ids_long_texts_and_clashing_columns(spark):
+    rnd = np.random.default_rng(15)
+    long = " ".join(f"w{x}" for x in rnd.integers(0, 40_000, 150_000))
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f"), (6, long), (5, long + " end"), (None, None), (7, "x y z")]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    fps = {t: simhash._signed(brute_fingerprint(t, 4)) for _, t in rows}
+    want = [(i, fps[t], {"a b c d e f": 4, "A b c d e f": 4, None: None, "x y z": 7}.get(t, 5)) for i, t in rows]
+    assert got == sorted(want, key=str)  # a null id has its partners' smallest id, or none
+
+
 @pytest.mark.parametrize("bucket", [1 << 14, 64])
 def test_links_lose_nothing_in_large_buckets(spark, bucket):
     rnd = np.random.default_rng(3)
