@@ -363,12 +363,21 @@ def _similar_rows(df: DataFrame, text: str, doc_id: str, shingle: int, least: fl
         both = pairs.join(texts.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "b"}), "v")
         return durable(both.select("u", "v", "a", "b").mapInArrow(_verify(shingle, least), "u long, v long").distinct())
 
-    first = durable(found.filter("key is null").select("u", "v").distinct())
-    edges = verified(first)
+    first = durable(found.filter("key is null").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
+    # each text with the smallest and the likeliest that it meets; then of the other pairs those that are not connected by now:
+    # a large group of copies is joined by few links a member, and its texts are compared no more often
+    likely = first.groupBy("u").agg(F.min("v").alias("a"), F.max_by("v", F.struct("n", "v")).alias("z")).select("u", F.explode(F.array_distinct(F.array("a", "z"))).alias("v"))
+    edges = verified(likely)
     classes = components(edges)
+    of = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    apart = first.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(cu, u) != coalesce(cv, v)").select("u", "v").join(likely, ["u", "v"], "left_anti")
+    apart = durable(apart)
+    if not apart.isEmpty():
+        edges = edges.unionByName(verified(apart))
+        classes = components(edges)
     rest = found.filter("key is not null").join(classes.withColumnRenamed("id", "u"), "u", "left").select("key", "u", "v", F.coalesce("component", "u").alias("component"))
     cross = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_pairs, "u long, v long").distinct()
-    cross = durable(cross.join(first, ["u", "v"], "left_anti"))
+    cross = durable(cross.join(first.select("u", "v"), ["u", "v"], "left_anti"))
     if not cross.isEmpty():
         classes = components(edges.unionByName(verified(cross)))
     return docs.join(classes, docs.node == classes.id, "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
