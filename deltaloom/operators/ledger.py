@@ -91,12 +91,30 @@ def rollup(transactions: DataFrame, tree: DataFrame) -> DataFrame:
     return spread(transactions, tree).groupBy("dimension", "measure").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("transactions"))
 
 
+def moves(rows: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, moves): members that a transaction is tied to or below by only one of two closures, as (dimension, sign): 1 by ``new`` alone, -1 by ``old`` alone."""
+    sides = old.select("src", "dst", F.lit(False).alias("now")).unionByName(new.select("src", "dst", F.lit(True).alias("now")))
+    reach = sides.groupBy(F.col("src").alias("__m")).agg(F.collect_set(F.when(~F.col("now"), F.col("dst"))).alias("__was"), F.collect_set(F.when(F.col("now"), F.col("dst"))).alias("__now"))
+    each = rows.select("id", F.explode(F.array_distinct("dimensions")).alias("__d")).filter("__d is not null").join(reach, F.col("__d") == F.col("__m"), "left")
+
+    def reached(ups: str) -> Column:
+        return F.flatten(F.collect_list(F.array_union(F.array("__d"), F.coalesce(ups, F.array().cast("array<string>")))))
+
+    def signed(members: Column, sign: int) -> Column:
+        return F.transform(members, lambda d: F.struct(d.alias("dimension"), F.lit(sign).alias("sign")))
+
+    both = each.groupBy("id").agg(reached("__was").alias("was"), reached("__now").alias("now"))
+    return both.select("id", F.concat(signed(F.array_except("now", "was"), 1), signed(F.array_except("was", "now"), -1)).alias("moves")).filter(F.size("moves") > 0)
+
+
 def change_dimensions(transactions: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """(dimension, measure, delta) that a change of hierarchy edges makes.
 
     Only transactions tied to a member at or below a changed edge are rolled
-    up, under the closures of both. A member that a deletion takes must be
-    gone from ``after`` and from the transactions' dimensions;
+    up, each at the members that one closure ties it to and the other does
+    not: where it counts before and after, sums of doubles taken in two
+    orders would leave a difference that is none. A member that a deletion
+    takes must be gone from ``after`` and from the transactions' dimensions;
     :func:`drop_members` does both.
     """
     old, new = graph.closure(before), graph.closure(after)
@@ -105,10 +123,9 @@ def change_dimensions(transactions: DataFrame, before: DataFrame, after: DataFra
     below = old.unionByName(new).join(moved, F.col("dst") == F.col("member"), "left_semi").select(F.col("src").alias("member"))
     touched = moved.unionByName(below).distinct()
     ids = transactions.select("id", F.explode("dimensions").alias("member")).join(touched, "member", "left_semi").select("id").distinct()
-    some = transactions.join(ids, "id", "left_semi")
-    sides = [spread(some, tree).select("dimension", "measure", (F.col("v") * sign).alias("v")) for tree, sign in ((old, -1), (new, 1))]
-    out = sides[0].unionByName(sides[1]).groupBy("dimension", "measure").agg(F.sum("v").alias("delta"))
-    return out.filter(F.abs("delta") > 1e-9)
+    each = moves(transactions.join(ids, "id", "left_semi"), old, new).join(transactions.select("id", "measures"), "id")
+    rows = each.select("measures", F.explode("moves").alias("to")).select(F.col("to.dimension").alias("dimension"), F.col("to.sign").alias("sign"), F.explode("measures").alias("measure", "v"))
+    return rows.groupBy("dimension", "measure").agg(F.sum(F.col("v") * F.col("sign")).alias("delta")).filter(F.abs("delta") > 1e-9)
 
 
 def link_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
