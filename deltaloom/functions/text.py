@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPLIT = r"[\s\-]+"
+#: Separators as RE2 and so DuckDB's SQL read ``SPLIT``: without the vertical tab, which Java's ``\s`` has.
+RE2_SPLIT = r"[\t\n\f\r \-]+"
+RE2_PIECE = r"[^\t\n\f\r \-]"
 #: Words that are never tokens, compared with case.
 STOPWORDS = (
     "a able about across after all almost also am among an and any are as at be because been but by can cannot could dear did do does either "
@@ -17,8 +20,8 @@ STOPWORDS = (
 ).split()
 
 
-def split(text: Column) -> Column:
-    return F.split(text, SPLIT)
+def split(text: Column, separators: str = SPLIT) -> Column:
+    return F.split(text, separators)
 
 
 def trim(token: Column) -> Column:
@@ -34,7 +37,7 @@ def wanted(token: Column) -> Column:
     return ~token.isin(STOPWORDS)
 
 
-def tokens(text: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+def tokens(text: Column, stem: Callable[[Column], Column] | None = None, separators: str = SPLIT) -> Column:
     """Tokens of a text in order, repeats included; null for null. ``stem`` maps a token column."""
-    found = F.filter(F.transform(F.filter(split(text), present), trim), lambda t: present(t) & wanted(t))
+    found = F.filter(F.transform(F.filter(split(text, separators), present), trim), lambda t: present(t) & wanted(t))
     return F.transform(found, stem) if stem else found
